@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .sharding import op8_sharding
 from .simhash import op2_simhash
+from .topk import op7_topk
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_bpe": op4_bpe,
+    "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
 }
 ORACLE: dict[str, str] = {}
