@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .langid import op6_langid
 from .sharding import op8_sharding
 from .simhash import op2_simhash
 from .topk import op7_topk
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op6_langid": op6_langid,
     "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE: dict[str, str] = {}
