@@ -6,10 +6,12 @@ from .bpe import op4_bpe
 from .langid import op6_langid
 from .sharding import op8_sharding
 from .simhash import op2_simhash
+from .suffix import op1_suffix_dedup
 from .topk import op7_topk
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op6_langid": op6_langid,
