@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .langid import op6_langid
+from .passages import op10_passages
 from .sharding import op8_sharding
 from .simhash import op2_simhash
 from .suffix import op1_suffix_dedup
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
+    "op10_passages": op10_passages,
     "op4_bpe": op4_bpe,
     "op6_langid": op6_langid,
     "op7_topk": op7_topk,

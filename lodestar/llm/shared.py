@@ -24,10 +24,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def into_batches(docs: DataFrame, total: int, batch_bytes: int = 12 << 20) -> DataFrame:
-    """(batch, doc_id, text) with about `batch_bytes` of text a batch."""
+def into_batches(docs: DataFrame, total: int, batch_bytes: int = 12 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(batch, doc_id, text, and a struct `rest` of the columns `carry`) with about `batch_bytes` of text a batch."""
     n = max(8, ceil(total / batch_bytes))
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     return pick.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
