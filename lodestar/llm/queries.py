@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontaminate import op5_decontaminate
 from .langid import op6_langid
+from .licenses import op3_licenses
 from .passages import op10_passages
 from .sharding import op8_sharding
 from .simhash import op2_simhash
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op10_passages": op10_passages,
+    "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
     "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
