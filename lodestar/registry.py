@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
+from .fixtures import with_views
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under `name`, with the SQL that gives the same rows."""
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = with_views(" ".join(sql.split()))
+        return f
+
+    return put
+
+
+from .queries import business, relational, spatial, text_ml  # noqa: E402,F401
