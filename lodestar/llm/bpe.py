@@ -27,15 +27,17 @@ class Transducer:
     A piece's encoding is the one split into tokens of which every neighbouring pair could stand beside each other
     (no merge would have crossed their border earlier). Dropping the last token gives the encoding of the shorter
     prefix, so one token ends each prefix for certain, but which token covers a byte is only known some bytes later.
-    The nondeterministic reader follows all starts from which a longer token may still come; each holds the tokens
-    between the last certain one and its start. A determinised state is that set with the common tokens taken
-    off its front: those are certain and are emitted on the way in. States and their byte transitions are made when
-    first needed; both stores are bounded and begun anew when full.
+    The nondeterministic reader follows all starts from which a longer token may still come, each with the token
+    before it. A determinised state is that list of (token before, place in the token trie); its step over a byte also
+    says which token ends there. Where no start but the newest is left, all tokens up to there are certain and are
+    emitted, following the ends back. States and their steps are made when first needed; both stores are bounded and
+    begun anew when full.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_pieces: int = 250_000):
         self.ranks, self.max_states, self.max_pieces = ranks, max_states, max_pieces
         self.token = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.child: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -53,9 +55,9 @@ class Transducer:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.states: list[tuple] = [(-1, (((), 0),))]
+        self.states: list[tuple] = [((-1, 0),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.step: list[dict[int, tuple[int, tuple]]] = [{}]
+        self.step: dict[int, tuple[int, int, bool]] = {}  # state * 256 + byte -> state * 256, token that ends, whether it is certain
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -98,34 +100,25 @@ class Transducer:
             self.fits[left, right] = known
         return known
 
-    def _next(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, starts = self.states[state]
-        alive, whole = [], None
-        for before, node in starts:
+    def _next(self, at: int) -> tuple[int, int, bool]:
+        byte, alive, whole = at & 255, [], -1
+        for before, node in self.states[at >> 8]:
             node = self.child[node].get(byte)
             if node is None:
                 continue
             if self.child[node]:
                 alive.append((before, node))
             rank = self.ends[node]
-            if rank >= 0:
-                previous = before[-1] if before else last
-                if previous < 0 or self._fit(previous, rank):
-                    whole = before + (rank,)
-        if whole is None:
+            if rank >= 0 and (before < 0 or self._fit(before, rank)):
+                whole = rank
+        if whole < 0:
             raise ValueError("the vocabulary lacks a byte")
-        alive.append((whole, 0))
-        common = 0
-        while all(len(before) > common for before, _ in alive) and len({before[common] for before, _ in alive}) == 1:
-            common += 1
-        emitted = whole[:common]
-        key = (emitted[-1] if emitted else last, tuple((before[common:], node) for before, node in alive))
+        key = (*alive, (whole, 0))
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.step.append({})
-        found = self.step[state][byte] = (number, emitted)
+        found = self.step[at] = (number << 8, whole, not alive)
         return found
 
     def piece(self, data: bytes) -> list[int]:
@@ -136,14 +129,24 @@ class Transducer:
         if len(self.states) > self.max_states:
             self._fresh()
         out: list[int] = []
-        state, step = 0, self.step
+        ends: list[int] = []  # token that ends after each byte not emitted yet
+        state, known = 0, self.step.get
         for byte in data:
-            state, emitted = step[state].get(byte) or self._next(state, byte)
-            if emitted:
-                out += emitted
-        out += self.states[state][1][-1][0]  # the start at the end of the piece holds what is not emitted yet
+            state, token, certain = known(state | byte) or self._next(state | byte)
+            ends.append(token)
+            if certain:
+                self._emit(ends, out)
+        self._emit(ends, out)
         return out
 
+    def _emit(self, ends: list[int], out: list[int]) -> None:
+        last, at = [], len(ends)
+        while at > 0:
+            last.append(ends[at - 1])
+            at -= self.size[last[-1]]
+        out.extend(reversed(last))
+        ends.clear()
+
     def packed(self, text: str, pattern) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; each match of `pattern` is one piece."""
         out, cache = [], self.pieces
