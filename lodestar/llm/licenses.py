@@ -108,6 +108,7 @@ class Index:
                 last = s
                 low = max(a, s - wide)
                 high = min(b, s + len(self.words[k]) + wide)
+                done = [span for span in done if span[1] > low]  # later places cannot overlap the others
                 n, x, y = align(self.words[k], words.hash[low:high], s - low, wide)
                 if n >= cover * len(self.words[k]) and all(low + x >= e or low + y <= f for f, e in done):
                     done.append((low + x, low + y))

@@ -43,3 +43,9 @@ def test_scan(spark, odd_docs, no_docs):
         for r in mine:
             assert 0.8 <= r.coverage <= 1 and lcs(texts[r.license].lower().split(), t.encode()[r.start : r.end].decode().lower().split()) >= r.matched
     assert scan_licenses(no_docs).collect() == [] and scan_licenses(odd_docs).collect() == []
+
+
+def test_notice_repeated_thousands_of_times(spark):
+    text = "Released under the MIT License. " * 4000
+    rows = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(r.start for r in rows) == [32 * k for k in range(4000)]
