@@ -26,15 +26,20 @@ def learn(docs: DataFrame, dict_bytes: int = 256 * 1024, max_doc_bytes: int = 16
     """language -> raw dictionary content of at most `dict_bytes` of text, from rows of `docs` (doc_id, text, lang).
 
     The sample is bounded: per language the documents with the smallest hashes whose texts fit together; documents above `max_doc_bytes`
-    are not sampled. The selection is cut down before it is shuffled, and at most dict_bytes per language reach the
-    driver.
+    are not sampled. Bytes are summed per language first, so that a draw in proportion, about four times what is
+    taken, is all that a language sends to its one task, however many rows it has. At most dict_bytes per language
+    reach the driver.
     """
     size = F.octet_length("text")
+    fit = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(size.between(1, max_doc_bytes))
+    sums = fit.groupBy("lang").agg(F.sum(size).alias("bytes")).collect()
+    if not sums:
+        return {}
+    share = docs.sparkSession.createDataFrame([(r.lang, 4.0 * dict_bytes / r.bytes) for r in sums], "lang string, share double")
     first = Window.partitionBy("lang").orderBy("draw", "text")
     some = (
-        docs.where("lang IS NOT NULL AND text IS NOT NULL").where(size.between(1, max_doc_bytes))
-        .select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(6)).alias("draw"))
-        .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= dict_bytes // 64)
+        fit.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(6)).alias("draw"))
+        .join(F.broadcast(share), "lang").where(F.col("draw") / F.lit(2.0**64) + 0.5 < F.col("share"))
         .withColumn("upto", F.sum(size).over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= dict_bytes)
     )
     texts: dict[str, list[bytes]] = {}
