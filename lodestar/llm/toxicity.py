@@ -39,12 +39,10 @@ def votes(text: str | None, index: dict[str, int], patterns: list[re.Pattern]) -
     """Which lexicon and pattern voters fire on a whole text; how many lexicon words it has, and per word."""
     fired, words, hits = np.zeros(len(index) + len(patterns), np.float32), 0, 0
     if text:
-        for word in WORD.findall(text.lower()):
-            words += 1
-            at = index.get(word)
-            if at is not None:
-                hits += 1
-                fired[at] = 1
+        said = WORD.findall(text.lower())
+        found = [at for at in map(index.get, said) if at is not None]
+        words, hits = len(said), len(found)
+        fired[found] = 1
         for k, p in enumerate(patterns):
             if p.search(text):
                 fired[len(index) + k] = 1
