@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance."""
+"""Benchmark decontamination: item-sized windows that share a seed with the item, a lossless gram count, then exact edit distance."""
 
 from __future__ import annotations
 
@@ -33,24 +33,20 @@ def grams(buf: np.ndarray, q: int) -> np.ndarray:
     return mix(x[:n] * np.uint64(0x9E3779B97F4A7C15) ^ x[q - 8 :] * np.uint64(0xD6E8FEB86659FD93))
 
 
-def embed(rows: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The symbols that a CGK random walk over each row emits, one column per step.
+def lacking(items: list[bytes], bodies: list[bytes]) -> np.ndarray:
+    """How many of each item's 3-byte grams its body lacks, or fewer (grams are counted in 1024 bins).
 
-    The walk stands on a byte, emits it, and moves on or stays as moves[step, symbol] says, the same for all rows;
-    past the end it emits 0. Strings at a small edit distance soon walk in step again after an edit, so their walks
-    differ in few places.
+    An edit changes at most three of the item's grams, so a body that holds the item at distance d lacks at most 3 d.
     """
-    steps = len(moves)
-    padded = np.zeros((len(rows), rows.shape[1] + 1), np.uint8)
-    padded[:, :-1] = np.where(np.arange(rows.shape[1]) < lengths[:, None], rows + np.uint8(1), 0)
-    flat, at = padded.ravel(), np.arange(len(rows), dtype=np.int64) * padded.shape[1]
-    last = at + lengths
-    out = np.empty((steps, len(rows)), np.uint8)
-    for k in range(steps):
-        symbol = flat[at]
-        out[k] = symbol
-        at = np.minimum(at + moves[k][symbol], last)
-    return out.T
+    def bags(texts: list[bytes]) -> np.ndarray:
+        size = np.array([len(t) for t in texts], np.int64)
+        x = np.frombuffer(b"".join(texts) + bytes(2), np.uint8).astype(np.int64)
+        code = (((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * 2654435761) >> 12) & 1023
+        inside = np.arange(len(code)) + 2 < np.repeat(np.cumsum(size), size)
+        row = np.repeat(np.arange(len(texts)), size)
+        return np.bincount((row * 1024 + code)[inside], minlength=len(texts) * 1024).reshape(-1, 1024)
+
+    return np.maximum(bags(items) - bags(bodies), 0).sum(axis=1)
 
 
 def edit_match(item: bytes, window: bytes, most: int) -> tuple[int, int, int] | None:
@@ -96,9 +92,6 @@ class Index:
     items: list[bytes]
     q: int
     similar: float
-    walks: int
-    tables: int
-    sampled: int
 
     def __post_init__(self):
         code, item, offset = [], [], []
@@ -116,36 +109,11 @@ class Index:
         self.seen[(self.code % np.uint64(FILTER)).astype(np.int64)] = True
         self.short = [k for k, t in enumerate(self.items) if 0 < len(t) < self.q]
         self.size = np.array([len(t) for t in self.items], np.int64)
-        # items of about one length share the sampled steps; a window takes the steps of its item's class
-        self.kind = -(-self.size // 32)
-        rnd = np.random.default_rng(5)
-        long = np.flatnonzero(self.size >= self.q)
-        steps = int(1.5 * 32 * self.kind[long].max(initial=1))
-        self.moves = [rnd.integers(0, 2, (steps, 256)) for _ in range(self.walks)]
-        self.places = {k: [np.sort(rnd.choice(int(1.5 * 32 * k), (self.tables // self.walks, self.sampled))) for _ in self.moves] for k in np.unique(self.kind[long]).tolist()}
-        self.keys = [np.zeros((len(self.items), self.tables // self.walks, self.sampled), np.uint8) for _ in self.moves]
-        for part in np.array_split(long, max(1, len(long) // 8192)) if len(long) else ():
-            rows = self._rows(b"".join(self.items[k] for k in part), np.cumsum([0, *self.size[part]])[:-1], self.size[part])
-            for w, moves in enumerate(self.moves):
-                self.keys[w][part] = self._sampled(embed(rows, self.size[part], moves), self.kind[part], w)
-
-    def _sampled(self, walk: np.ndarray, kinds: np.ndarray, w: int) -> np.ndarray:
-        out = np.empty((len(walk), self.tables // self.walks, self.sampled), np.uint8)
-        for kind in np.unique(kinds).tolist():
-            mine = np.flatnonzero(kinds == kind)
-            out[mine] = walk[mine][:, self.places[kind][w]]
-        return out
-
-    @staticmethod
-    def _rows(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        wide = int(sizes.max())
-        buf = np.frombuffer(data + bytes(wide), np.uint8)
-        return buf[starts[:, None] + np.arange(wide)]
 
     def windows(self, data: bytes, edges: np.ndarray):
-        """(text, item, start) of item-sized windows of the joined texts that share a q-gram with the item at its own place.
+        """(text, item, first start, last start) of the item-sized windows of the joined texts that share a q-gram with the item at its own place.
 
-        Starts of an item within an eighth of its length of one another are one window, at the start most grams vote for.
+        Starts of an item within an eighth of its length of the next are one row.
         """
         h = grams(np.frombuffer(data, np.uint8), self.q)
         hit = np.flatnonzero(self.seen[(h % np.uint64(FILTER)).astype(np.int64)])
@@ -160,16 +128,15 @@ class Index:
         order = np.lexsort((start, item, text))
         text, item, start = text[order], item[order], start[order]
         if not len(text):
-            return text, item, start
+            return text, item, start, start
         same = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])]
         at = np.flatnonzero(same)
-        votes = np.diff(np.r_[at, len(same)])
         text, item, start = text[at], item[at], start[at]
         apart = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.size[item[1:]] // 8)]
-        group = np.cumsum(apart)
-        best = np.lexsort((-votes, group))
-        best = best[np.r_[True, group[best][1:] != group[best][:-1]]]
-        return text[best], item[best], start[best]
+        # a long chain is cut into cells of that width, so a body stays near its item in length
+        cell = (start - start[np.flatnonzero(apart)][np.cumsum(apart) - 1]) // np.maximum(self.size[item] // 8, 1)
+        at = np.flatnonzero(apart | np.r_[True, cell[1:] != cell[:-1]])
+        return text[at], item[at], start[at], start[np.r_[at[1:], len(start)] - 1]
 
     def search(self, texts: list[bytes]):
         """(text, item, start, end, distance) of every item found in every text."""
@@ -178,27 +145,30 @@ class Index:
             if k > begin and (k == len(texts) or size >= CHUNK):
                 data = b"".join(texts[begin:k])
                 if len(data) >= self.q and len(self.code):
-                    text, item, start = self.windows(data, np.cumsum([0, *(len(t) for t in texts[begin:k])]))
-                    parts.append(np.stack([text + begin, item, start]))
+                    text, item, first, last = self.windows(data, np.cumsum([0, *(len(t) for t in texts[begin:k])]))
+                    parts.append(np.stack([text + begin, item, first, last]))
                 begin, size = k, 0
             if k < len(texts):
                 size += len(texts[k])
-        text, item, start = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
-        for at in range(0, len(text), 1 << 13):
-            part = slice(at, at + (1 << 13))
-            sizes = np.array([max(1, min(int(n), len(texts[t]) - max(0, s))) for t, s, n in zip(text[part].tolist(), start[part].tolist(), self.size[item[part]].tolist())], np.int64)
-            data = b"".join([texts[t][max(0, s) : max(0, s) + n].ljust(n) for t, s, n in zip(text[part].tolist(), start[part].tolist(), sizes.tolist())])
-            rows, alike = self._rows(data, np.r_[0, np.cumsum(sizes)[:-1]], sizes), np.zeros(len(sizes), bool)
-            for w, moves in enumerate(self.moves):
-                left = np.flatnonzero(~alike)
-                if len(left):
-                    mine = item[part][left]
-                    got = self._sampled(embed(rows[left], sizes[left], moves), self.kind[mine], w)
-                    alike[left] = (got == self.keys[w][mine]).all(axis=2).any(axis=1)
-            for t, k, s in zip(text[part][alike].tolist(), item[part][alike].tolist(), start[part][alike].tolist()):
-                most = int((1 - self.similar) * len(self.items[k]) + 1e-9)
-                a = max(0, s - most)
-                m = edit_match(self.items[k], texts[t][a : s + len(self.items[k]) + most], most)
+        rows = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+        most = ((1 - self.similar) * self.size + 1e-9).astype(np.int64)
+        low, high = np.maximum(rows[2] - most[rows[1]], 0), rows[3] + self.size[rows[1]] + most[rows[1]]
+        cost = np.cumsum(4 * (high - low + 1024)) // (1 << 22)
+        for part in np.split(np.arange(len(cost)), np.flatnonzero(np.diff(cost)) + 1) if len(cost) else ():
+            at = list(zip(*(x[part].tolist() for x in (rows[0], rows[1], low, high))))
+            bodies = [texts[t][a:b] for t, _, a, b in at]
+            # a quarter of the item, with the grams that begin in it, lies in the text at its own place or up to `most` bytes off
+            pieces, places = [], []
+            for (t, k, _, _), first, last in zip(at, rows[2][part].tolist(), rows[3][part].tolist()):
+                n, m = len(self.items[k]), int(most[k])
+                for c in range(4):
+                    x, y = n * c // 4, n * (c + 1) // 4 + 2
+                    pieces.append(self.items[k][x:y])
+                    places.append(texts[t][max(0, first + x - m) : max(0, last + y + m)])
+            alike = lacking(pieces, places).reshape(-1, 4).sum(axis=1) <= 3 * most[rows[1][part]]
+            for x in np.flatnonzero(alike).tolist():
+                t, k, a, _ = at[x]
+                m = edit_match(self.items[k], bodies[x], int(most[k]))
                 if m:
                     found.append((t, k, a + m[0], a + m[1], m[2]))
         for k in self.short:
@@ -220,15 +190,14 @@ def _blocks(items: DataFrame, block_bytes: int):
         yield [r.item_id for r in rows], [fold(utf8(r.text)) for r in rows]
 
 
-def matches(docs: DataFrame, items: DataFrame, similar: float = 0.8, q: int = 12, walks: int = 4, tables: int = 32, sampled: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, similar: float = 0.8, q: int = 12, block_bytes: int = 4 << 20) -> DataFrame:
     """`docs` (doc_id, text, ...) with the column hits: array of (item_id, start, end, distance, similarity) of the items in its text.
 
     An item is found where a stretch of the text is within an edit distance of (1 - `similar`) of its length, both
     with ASCII case and the kind of white space ignored; places and distances are in UTF-8 bytes. The best stretch per item is reported.
-    Item-sized windows begin where the text shares `q` bytes with the item at the same offset; a window goes on if any
-    of `tables` samples of `sampled` steps of its `walks` CGK walks equals the item's, and is then verified exactly. A
-    window at H of N differing steps passes one sample with probability (1 - H/N)^sampled; with 32 samples of 4 the recall is over 0.98 up to H/N = 0.4, and
-    1 for exact copies. Items shorter than q bytes are compared directly.
+    Item-sized windows begin where the text shares `q` bytes (8 to 16) with the item at the same offset; every such window is
+    verified exactly, after a count of 3-byte grams that rules out only what is too far away. So a stretch is found
+    if `q` bytes of the item are intact in it, exact copies always. Items shorter than q bytes are compared directly.
 
     Items are shipped to the tasks in blocks of bounded size, each block meeting all documents; texts are searched
     whole. Null and empty items or item_ids are ignored, null texts have no hits; repeated rows repeat, repeated items
@@ -243,7 +212,7 @@ def matches(docs: DataFrame, items: DataFrame, similar: float = 0.8, q: int = 12
 
         def run(batches, content=content):
             ids, texts = content.value
-            index = Index(ids, texts, q, similar, walks, tables, sampled)
+            index = Index(ids, texts, q, similar)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 bodies = [fold(utf8(t.as_py())) for t in batch.column(at)]

@@ -54,3 +54,22 @@ def test_empty(spark, no_docs):
     items = spark.createDataFrame([(1, "some benchmark item")], "item_id long, text string")
     assert matches(no_docs, items).collect() == []
     assert [r.hits for r in matches(items.selectExpr("item_id doc_id", "text"), items.where("false")).collect()] == [[]]
+
+
+def test_every_seeded_copy_is_found_up_to_the_stated_distance(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    items = [" ".join(word() for _ in range(35)) for _ in range(10)]
+    rows, due = [], {}
+    for k in range(200):
+        item, part = items[k % 10], list(items[k % 10])
+        for at in rnd.sample(range(len(part)), int((0.1, 0.15, 0.19, 0.2)[k // 10 % 4] * len(part))):
+            part[at] = "z"
+        rows.append((k, "noise here " + "".join(part) + " and noise there"))
+        seeded = any("z" not in part[at : at + 12] for at in range(len(part) - 11))
+        best = edit_match(item.encode(), rows[k][1].encode(), int(0.2 * len(item) + 1e-9))
+        if seeded and best:
+            due[k] = (k % 10, best[2])
+    got = matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    found = {r.doc_id: {(h.item_id, h.distance) for h in r.hits} for r in got}
+    assert len(due) > 150 and all(x in found[k] for k, x in due.items())
