@@ -80,6 +80,14 @@ def k4(s, d):
     return terms(s, d).groupBy("term", "doc_id").agg(F.count("*").alias("tf")).where("tf > 3")
 
 
+@query("k4_index", f"""WITH t AS (SELECT doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS place, len(terms) AS dl FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS terms FROM documents))
+  SELECT term, doc_id, count(*) AS tf, list(place ORDER BY place) AS positions, max(dl)::BIGINT AS dl FROM t GROUP BY 1, 2""")
+def k4_index(s, d):
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    t = load(s, d, "documents").select("doc_id", words.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("place", "term"))
+    return t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("place").cast("long"))).alias("positions"), F.max("dl").alias("dl"))
+
+
 @query("k5_bm25", f"""WITH t AS ({TERMS}), len AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term IN ('the','license','version') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
   SELECT doc_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*dl/av))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), (SELECT count(*) AS n, avg(dl) AS av FROM len) GROUP BY 1""")
 def k5(s, d):

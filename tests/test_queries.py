@@ -15,3 +15,9 @@ def test_shortest_paths_agree_with_single_source(spark):
     rows = QUERIES["f8_od_matrix"](spark, SF).collect()
     one = {r.node: r.cost for r in QUERIES["f5_shortest_paths"](spark, SF).collect()}
     assert {r.node: r.cost for r in rows if r.origin == 0} == one and len(rows) == 625
+
+
+def test_index_keeps_every_posting(spark):
+    rows = QUERIES["k4_index"](spark, SF).collect()
+    assert sum(r.tf for r in rows) == sum(r.n for r in QUERIES["k1_analyze"](spark, SF).collect())
+    assert all(len(set(r.positions)) == r.tf <= r.dl for r in rows) and sum(r.tf <= 3 for r in rows) > len(rows) / 2
