@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds until the edge set stands still; every round is two aggregations
     with map-side combine and two equi joins, and is checkpointed, so no link ever visits the driver. Null ends and
-    self loops are ignored.
+    self loops are ignored. An error is raised if links still change after `max_rounds`.
     """
     def signature(df):
         row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -70,6 +70,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"links still changed after {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

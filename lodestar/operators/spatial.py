@@ -55,7 +55,8 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: float, most: float = 720
 def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, rounds: int = 1000) -> DataFrame:
     """(origin, node, cost, path) of the cheapest paths from each `sources.origin` over directed edges (src, dst, cost >= 0).
 
-    Every round extends only the nodes that got cheaper, for all origins in one join, and stops when none did.
+    Every round extends only the nodes that got cheaper, for all origins in one join, and stops when none did; an error is raised
+    if that takes more than `rounds`.
     """
     from ..checkpoint import durable
 
@@ -72,7 +73,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None =
             return best
         best = durable(best.join(better.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(better))
         frontier = better
-    return best
+    raise RuntimeError(f"paths still became cheaper after {rounds} rounds")
 
 
 def neighbours8(cells: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006

@@ -36,3 +36,15 @@ def test_spatial_join_is_an_equi_join(spark):
     boxes = spark.createDataFrame([(7, 0.0, 0.0, 25.0, 25.0)], "box long, minx double, miny double, maxx double, maxy double")
     out = S.points_in_boxes(pts, boxes, 10.0)
     assert out.count() == 1 and "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_that_end_too_early_are_an_error(spark):
+    from lodestar.llm.common import connected_components
+    from lodestar.operators.spatial import shortest_paths
+
+    chain = spark.createDataFrame([(k, k + 1, 1.0) for k in range(8)], "src long, dst long, cost double")
+    one = spark.createDataFrame([(0,)], "origin long")
+    for short, enough, n in ((lambda: shortest_paths(chain, one, rounds=2), lambda: shortest_paths(chain, one), 9), (lambda: connected_components(chain, 1), lambda: connected_components(chain), 9)):
+        with pytest.raises(RuntimeError):
+            short()
+        assert enough().count() == n
