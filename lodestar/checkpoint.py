@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; an error where none is set, as a machine's own folder would not do."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder; a temporary one is set only where none is (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """`df` cut from its lineage, kept where a lost executor cannot take it along."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
