@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpoint_dir, durable  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,18 +21,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return path or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage, kept where a lost executor cannot take it along."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def slices(batches, text: str = "text", most: int = 4 << 20):
+    """The record batches `batches`, cut so that a slice has about `most` bytes of the column `text`, or one row."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+        cell = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, batch.num_rows]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers are used again for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def held_out(doc_id, modulus: int, remainder: int):

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: item-sized windows that share a seed with the item, a lossless gram count, then exact edit distance."""
+"""Benchmark decontamination: CGK walks embed item-sized windows, bit-sampling LSH proposes them, exact edit distance decides."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import durable, give_back, slices, table, utf8
 from .words import LOWER, SPACE, mix
 
 FOLD = LOWER.copy()
 FOLD[SPACE] = 0x20
-CHUNK = 1 << 17
-FILTER = 1 << 22
+CHUNK, LANES, PIECE, SHORT = 1 << 17, 4096, 64, 48
+STEPS, SAMPLED, WALKS, SAMPLES = 40, 10, 3, 5
+ONE, ALL = np.uint64(1), np.uint64(2**64 - 1)
 
 
 def fold(text: bytes) -> bytes:
@@ -23,30 +24,67 @@ def fold(text: bytes) -> bytes:
     return text.translate(FOLD.tobytes())
 
 
-def grams(buf: np.ndarray, q: int) -> np.ndarray:
-    """A hash of the q bytes (8 to 16) from each place."""
-    x = buf.astype(np.uint64)
-    x = x[:-1] | x[1:] << np.uint64(8)
-    x = x[:-2] | x[2:] << np.uint64(16)
-    x = x[:-4] | x[4:] << np.uint64(32)
-    n = len(x) - (q - 8)
-    return mix(x[:n] * np.uint64(0x9E3779B97F4A7C15) ^ x[q - 8 :] * np.uint64(0xD6E8FEB86659FD93))
+def anchors(x: np.ndarray) -> np.ndarray:
+    """Where walks start: words, characters of three bytes or more, and, for long runs of neither, about every 32nd place, chosen by its two bytes."""
+    before = np.r_[np.uint8(0x20), x[:-1]]
+    word = (before == 0x20) & (x != 0x20)
+    return np.flatnonzero(word | (x >= 0xE0) | ((before * np.uint8(37) + x * np.uint8(101)) & np.uint8(31) == 0))
 
 
-def lacking(items: list[bytes], bodies: list[bytes]) -> np.ndarray:
-    """How many of each item's 3-byte grams its body lacks, or fewer (grams are counted in 1024 bins).
+class Embedding:
+    """WALKS random walks of STEPS steps (CGK): a walk stands on a byte, writes it, and a random bit drawn for the step and the byte says whether it moves on.
 
-    An edit changes at most three of the item's grams, so a body that holds the item at distance d lacks at most 3 d.
+    Two strings with few edits between them soon write the same bytes again after each edit, so their edit distance
+    becomes a Hamming distance of what is written. An item-sized window is embedded by parts: the walk starts afresh at each of its
+    anchors, so one that lost step does not spoil the rest, and windows that overlap share the walks of their anchors. A hash table
+    is a sample of SAMPLED of the steps of a walk, one from each of as many equal stretches; each walk serves SAMPLES tables.
     """
-    def bags(texts: list[bytes]) -> np.ndarray:
-        size = np.array([len(t) for t in texts], np.int64)
-        x = np.frombuffer(b"".join(texts) + bytes(2), np.uint8).astype(np.int64)
-        code = (((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * 2654435761) >> 12) & 1023
-        inside = np.arange(len(code)) + 2 < np.repeat(np.cumsum(size), size)
-        row = np.repeat(np.arange(len(texts)), size)
-        return np.bincount((row * 1024 + code)[inside], minlength=len(texts) * 1024).reshape(-1, 1024)
 
-    return np.maximum(bags(items) - bags(bodies), 0).sum(axis=1)
+    def __init__(self, seed: int = 5):
+        rng, stratum = np.random.default_rng(seed), STEPS // SAMPLED
+        # bit k of a byte's number: whether a walk that stands on that byte moves on at step k
+        self.moves = rng.integers(0, 2**62, (WALKS, 256))
+        self.sampled = [[{k * stratum + int(rng.integers(stratum)) for k in range(SAMPLED)} for _ in range(SAMPLES)] for _ in range(WALKS)]
+
+    def keys(self, x: np.ndarray, start: np.ndarray):
+        """The key of every start in each table; `x` must reach STEPS bytes beyond the last. A sampled byte enters a key by its number."""
+        for moves, sampled in zip(self.moves, self.sampled):
+            every, at, found = moves[x], start.copy(), [np.zeros(len(start), np.int64) for _ in sampled]
+            here, move = np.empty_like(at), np.empty_like(at)
+            for step in range(STEPS):
+                np.take(every, at, out=here, mode="clip")
+                for key, steps in zip(found, sampled):
+                    if step in steps:
+                        key *= 0x1E3779B97F4A7C15
+                        key += here
+                np.right_shift(here, step, out=move)
+                move &= 1
+                at += move
+            yield from (mix(k.view(np.uint64)) for k in found)
+
+
+def nearest_piece(x: np.ndarray, at: np.ndarray, columns: int, masks: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each lane, the least edit distance of its piece (at most 64 bytes) to any part of the `columns` bytes of `x` from `at`.
+
+    Bit-parallel columns (Myers) of all lanes at once. masks[lane] is the offset of the piece's 256 match masks in `bits[0]`, bits[1][lane] its length.
+    """
+    peq, length = bits
+    top = length.astype(np.uint64) - ONE
+    pv, mv = np.full(len(at), ALL), np.zeros(len(at), np.uint64)
+    score = length.astype(np.int64)
+    best = score.copy()
+    for j in range(columns):
+        eq = peq[masks + x[at + j]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += (ph >> top & ONE).astype(np.int64)
+        score -= (mh >> top & ONE).astype(np.int64)
+        ph <<= ONE
+        mh <<= ONE
+        pv, mv = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best
 
 
 def edit_match(item: bytes, window: bytes, most: int) -> tuple[int, int, int] | None:
@@ -90,90 +128,113 @@ class Index:
 
     ids: list[int]
     items: list[bytes]
-    q: int
     similar: float
 
     def __post_init__(self):
-        code, item, offset = [], [], []
-        for k, t in enumerate(self.items):
-            if len(t) >= self.q:
-                g = grams(np.frombuffer(t, np.uint8), self.q)
-                code.append(g)
-                item.append(np.full(len(g), k))
-                offset.append(np.arange(len(g)))
-        self.code = np.concatenate(code) if code else np.zeros(0, np.uint64)
-        order = np.argsort(self.code, kind="stable")
-        self.code = self.code[order]
-        self.item, self.offset = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (item, offset))
-        self.seen = np.zeros(FILTER, bool)
-        self.seen[(self.code % np.uint64(FILTER)).astype(np.int64)] = True
-        self.short = [k for k, t in enumerate(self.items) if 0 < len(t) < self.q]
         self.size = np.array([len(t) for t in self.items], np.int64)
-
-    def windows(self, data: bytes, edges: np.ndarray):
-        """(text, item, first start, last start) of the item-sized windows of the joined texts that share a q-gram with the item at its own place.
-
-        Starts of an item within an eighth of its length of the next are one row.
-        """
-        h = grams(np.frombuffer(data, np.uint8), self.q)
-        hit = np.flatnonzero(self.seen[(h % np.uint64(FILTER)).astype(np.int64)])
-        low, high = np.searchsorted(self.code, h[hit], "left"), np.searchsorted(self.code, h[hit], "right")
-        n = high - low
-        hit, low, n = hit[n > 0], low[n > 0], n[n > 0]
-        entry = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        place = np.repeat(hit, n)
-        text = np.searchsorted(edges, place, "right") - 1
-        inside = place + self.q <= edges[text + 1]
-        text, item, start = text[inside], self.item[entry[inside]], place[inside] - self.offset[entry[inside]] - edges[text[inside]]
-        order = np.lexsort((start, item, text))
-        text, item, start = text[order], item[order], start[order]
+        self.most = ((1 - self.similar) * self.size + 1e-9).astype(np.int64)
+        self.short = [k for k, n in enumerate(self.size.tolist()) if 0 < n < SHORT]
+        self.embedding = Embedding()
+        joined = np.frombuffer(b" ".join([*self.items, bytes(2 * STEPS)]), np.uint8)
+        begin = np.r_[0, np.cumsum(self.size + 1)]
+        start = anchors(joined[: begin[-1]])
+        item = np.searchsorted(begin, start, "right") - 1
+        keep = (self.size[item] >= SHORT) & (begin[item] + self.size[item] - start >= STEPS // 2)
+        start, item = start[keep], item[keep].astype(np.int32)
+        offset = (start - begin[item]).astype(np.int32)
+        self.width = max(1 << 16, 1 << (32 * max(1, len(start)) - 1).bit_length())
+        self.tables = []
+        for key in self.embedding.keys(joined, start):
+            order = np.argsort(key, kind="stable")
+            seen = np.zeros(self.width, bool)
+            seen[(key & np.uint64(self.width - 1)).astype(np.int64)] = True
+            self.tables.append((seen, key[order], item[order], offset[order]))
+        # pieces of at most PIECE bytes, of even length within an item
+        cuts = [np.linspace(0, n, -(-n // PIECE) + 1).astype(np.int64).tolist() for n in self.size.tolist()]
+        self.first_piece = np.r_[0, np.cumsum([len(c) - 1 for c in cuts])].astype(np.int64)
+        self.peq = np.zeros((int(self.first_piece[-1]), 256), np.uint64)
+        self.piece_at = np.array([a for c in cuts for a in c[:-1]], np.int64)
+        self.piece_size = np.array([b - a for c in cuts for a, b in zip(c[:-1], c[1:])], np.int64)
+        for k, t in enumerate(self.items):
+            for row in range(int(self.first_piece[k]), int(self.first_piece[k + 1])):
+                at = int(self.piece_at[row])
+                for i, byte in enumerate(t[at : at + int(self.piece_size[row])]):
+                    self.peq[row, byte] |= np.uint64(1 << i)
+
+    def hits(self, x: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start of its window) of the table entries that the anchors in begin..end meet; starts may lie before the text's."""
+        start = anchors(x[begin:end])
+        part = x[begin : end + 2 * STEPS]
+        items, starts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for key, (seen, keys, item, offset) in zip(self.embedding.keys(part, start), self.tables):
+            at = np.flatnonzero(seen[(key & np.uint64(self.width - 1)).astype(np.int64)])
+            low, high = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+            n = high - low
+            entry = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else low
+            items.append(item[entry])
+            starts.append(np.repeat(start[at], n) + begin - offset[entry])
+        return np.concatenate(items), np.concatenate(starts)
+
+    def windows(self, x: np.ndarray, edges: np.ndarray):
+        """(text, item, first start, last start) of the windows proposed for the joined texts; starts of an item within an eighth of its length are one row."""
+        found = [self.hits(x, at, min(at + CHUNK, int(edges[-1]))) for at in range(0, int(edges[-1]), CHUNK)]
+        item, start = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        middle = np.clip(start + self.size[item] // 2, 0, edges[-1] - 1)
+        text = np.searchsorted(edges, middle, "right") - 1
+        cell = start // np.maximum(self.size[item] // 8, 1)
+        order = np.lexsort((start, cell, item, text))
+        text, item, start, cell = text[order], item[order], start[order], cell[order]
         if not len(text):
             return text, item, start, start
-        same = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])]
-        at = np.flatnonzero(same)
-        text, item, start = text[at], item[at], start[at]
-        apart = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.size[item[1:]] // 8)]
-        # a long chain is cut into cells of that width, so a body stays near its item in length
-        cell = (start - start[np.flatnonzero(apart)][np.cumsum(apart) - 1]) // np.maximum(self.size[item] // 8, 1)
-        at = np.flatnonzero(apart | np.r_[True, cell[1:] != cell[:-1]])
+        at = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])])
         return text[at], item[at], start[at], start[np.r_[at[1:], len(start)] - 1]
 
+    def plausible(self, x: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which of the windows may hold their item: the distances of the item's pieces, each within its own part of the window, do not sum to more than is allowed."""
+        left = np.arange(len(item))
+        total = np.zeros(len(item), np.int64)
+        for p in range(int(np.diff(self.first_piece).max(initial=0))):
+            has = self.first_piece[item[left]] + p < self.first_piece[item[left] + 1]
+            for at in range(0, len(left), LANES):
+                lane = left[at : at + LANES][has[at : at + LANES]]
+                if not len(lane):
+                    continue
+                k = item[lane]
+                piece, most = self.first_piece[k] + p, self.most[k]
+                columns = int((self.piece_size[piece] + 2 * most + last[lane] - first[lane]).max())
+                begin = np.clip(first[lane] + self.piece_at[piece] - most, 0, len(x) - columns)
+                total[lane] += nearest_piece(x, begin, columns, piece * 256, (self.peq.ravel(), self.piece_size[piece]))
+            left = left[total[left] <= self.most[item[left]]]
+        return left
+
+    def scan(self, k: int, x: np.ndarray, edges: np.ndarray):
+        """(text, item) of the texts that hold the short item k: its whole distance to every stretch of the joined texts."""
+        n, most = int(self.size[k]), int(self.most[k])
+        step = 4 * SHORT
+        at = np.arange(0, int(edges[-1]), step)
+        piece = np.full(len(at), self.first_piece[k])
+        near = np.concatenate([nearest_piece(x, at[j : j + LANES], step + n + most, piece[j : j + LANES] * 256, (self.peq.ravel(), self.piece_size[piece[j : j + LANES]])) for j in range(0, len(at), LANES)])
+        at = at[near <= most]
+        low, high = np.searchsorted(edges, at, "right") - 1, np.searchsorted(edges, at + step + n + most, "left")
+        return sorted({(t, k) for a, b in zip(low.tolist(), high.tolist()) for t in range(a, min(b, len(edges) - 1))})
+
     def search(self, texts: list[bytes]):
         """(text, item, start, end, distance) of every item found in every text."""
-        found, parts, begin, size = [], [], 0, 0
-        for k in range(len(texts) + 1):
-            if k > begin and (k == len(texts) or size >= CHUNK):
-                data = b"".join(texts[begin:k])
-                if len(data) >= self.q and len(self.code):
-                    text, item, first, last = self.windows(data, np.cumsum([0, *(len(t) for t in texts[begin:k])]))
-                    parts.append(np.stack([text + begin, item, first, last]))
-                begin, size = k, 0
-            if k < len(texts):
-                size += len(texts[k])
-        rows = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
-        most = ((1 - self.similar) * self.size + 1e-9).astype(np.int64)
-        low, high = np.maximum(rows[2] - most[rows[1]], 0), rows[3] + self.size[rows[1]] + most[rows[1]]
-        cost = np.cumsum(4 * (high - low + 1024)) // (1 << 22)
-        for part in np.split(np.arange(len(cost)), np.flatnonzero(np.diff(cost)) + 1) if len(cost) else ():
-            at = list(zip(*(x[part].tolist() for x in (rows[0], rows[1], low, high))))
-            bodies = [texts[t][a:b] for t, _, a, b in at]
-            # a quarter of the item, with the grams that begin in it, lies in the text at its own place or up to `most` bytes off
-            pieces, places = [], []
-            for (t, k, _, _), first, last in zip(at, rows[2][part].tolist(), rows[3][part].tolist()):
-                n, m = len(self.items[k]), int(most[k])
-                for c in range(4):
-                    x, y = n * c // 4, n * (c + 1) // 4 + 2
-                    pieces.append(self.items[k][x:y])
-                    places.append(texts[t][max(0, first + x - m) : max(0, last + y + m)])
-            alike = lacking(pieces, places).reshape(-1, 4).sum(axis=1) <= 3 * most[rows[1][part]]
-            for x in np.flatnonzero(alike).tolist():
-                t, k, a, _ = at[x]
-                m = edit_match(self.items[k], bodies[x], int(most[k]))
-                if m:
-                    found.append((t, k, a + m[0], a + m[1], m[2]))
+        edges = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+        reach = int((self.size + 3 * self.most).max(initial=0)) + 8 * SHORT + 2 * STEPS
+        x = np.frombuffer(b" ".join([*texts, bytes(reach)]), np.uint8)
+        text, item, first, last = self.windows(x, edges)
+        keep = self.plausible(x, item, first, last)
+        found = []
+        for t, k, a, b in zip(*(v[keep].tolist() for v in (text, item, first - edges[text], last - edges[text]))):
+            n, most = len(self.items[k]), int(self.most[k])
+            low = max(0, a - most)
+            m = edit_match(self.items[k], texts[t][low : b + n + most], most)
+            if m:
+                found.append((t, k, low + m[0], low + m[1], m[2]))
         for k in self.short:
-            for t, body in enumerate(texts):
-                m = edit_match(self.items[k], body, int((1 - self.similar) * len(self.items[k]) + 1e-9))
+            for t, _ in self.scan(k, x, edges):
+                m = edit_match(self.items[k], texts[t], int(self.most[k]))
                 if m:
                     found.append((t, k, *m))
         return found
@@ -187,45 +248,50 @@ def _blocks(items: DataFrame, block_bytes: int):
     for k in range(n):
         rows = some.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows.sort(key=lambda r: (r.item_id, r.text))
-        yield [r.item_id for r in rows], [fold(utf8(r.text)) for r in rows]
+        yield k == n - 1, [r.item_id for r in rows], [fold(utf8(r.text)) for r in rows]
 
 
-def matches(docs: DataFrame, items: DataFrame, similar: float = 0.8, q: int = 12, block_bytes: int = 4 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, similar: float = 0.8, block_bytes: int = 1 << 20) -> DataFrame:
     """`docs` (doc_id, text, ...) with the column hits: array of (item_id, start, end, distance, similarity) of the items in its text.
 
     An item is found where a stretch of the text is within an edit distance of (1 - `similar`) of its length, both
     with ASCII case and the kind of white space ignored; places and distances are in UTF-8 bytes. The best stretch per item is reported.
-    Item-sized windows begin where the text shares `q` bytes (8 to 16) with the item at the same offset; every such window is
-    verified exactly, after a count of 3-byte grams that rules out only what is too far away. So a stretch is found
-    if `q` bytes of the item are intact in it, exact copies always. Items shorter than q bytes are compared directly.
+    Item-sized windows are proposed by `Embedding`: CGK walks, sampled into WALKS * SAMPLES hash tables; those whose pieces alone differ too
+    much are ruled out without loss, the others are verified by exact edit distance. Measured recall at 20 % mixed edits is
+    in the README. Items under SHORT bytes are compared with every place of every text, exactly.
 
     Items are shipped to the tasks in blocks of bounded size, each block meeting all documents; texts are searched
-    whole. Null and empty items or item_ids are ignored, null texts have no hits; repeated rows repeat, repeated items
-    give repeated hits; an empty table of documents gives an empty result, one of items no hits.
+    whole. One block is held at a time: before the next one, the documents with their hits so far are written to the checkpoint
+    folder. Null and empty items or item_ids are ignored, null texts have no hits; repeated rows repeat, repeated items
+    give repeated hits; an empty table of documents gives an empty result, one of items no hits; a column named hits is replaced.
     """
     kind = "array<struct<item_id:long,start:long,end:long,distance:long,similarity:double>>"
     docs = docs.drop("hits")
     out = docs.withColumn("hits", F.from_json(F.lit("[]"), kind))
     hit = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64())])
-    for ids, texts in _blocks(items, block_bytes):
+    for last, ids, texts in _blocks(items, block_bytes):
         content = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches, content=content):
             ids, texts = content.value
-            index = Index(ids, texts, q, similar)
-            for batch in batches:
+            index = Index(ids, texts, similar)
+            for batch in slices(batches):
                 at = batch.schema.get_field_index("text")
                 bodies = [fold(utf8(t.as_py())) for t in batch.column(at)]
                 hits: list[dict[int, dict]] = [{} for _ in bodies]
                 for t, i, a, b, d in index.search(bodies):
                     old = hits[t].get(i)
-                    if old is None or d < old["distance"]:
+                    if old is None or (d, a) < (old["distance"], old["start"]):
                         hits[t][i] = {"item_id": ids[i], "start": a, "end": b, "distance": d, "similarity": 1 - d / len(texts[i])}
                 earlier = batch.column(batch.schema.get_field_index("hits")).to_pylist()
                 both = pa.array([(e or []) + [h[i] for i in sorted(h)] for e, h in zip(earlier, hits)], pa.list_(hit))
                 yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names) if n != "hits"), both], names=[*(n for n in batch.schema.names if n != "hits"), "hits"])
+            give_back()
 
         out = out.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "hits") + f", hits {kind}")
+        if not last:
+            out = durable(out)
+            content.destroy()
     return out
 
 

@@ -1,6 +1,9 @@
 import random
 
-from lodestar.llm.decontaminate import edit_match, fold, matches
+import numpy as np
+import pytest
+
+from lodestar.llm.decontaminate import Index, edit_match, fold, matches
 
 
 def distance(a, b):
@@ -56,20 +59,50 @@ def test_empty(spark, no_docs):
     assert [r.hits for r in matches(items.selectExpr("item_id doc_id", "text"), items.where("false")).collect()] == [[]]
 
 
-def test_every_seeded_copy_is_found_up_to_the_stated_distance(spark):
+def edited(rnd, text, rate, every=0):
+    """`text` with that share of its places substituted, inserted before or deleted; evenly spaced if `every`."""
+    part, n = list(text), int(rate * len(text))
+    for at in sorted(range(5, len(text), every)[:n] if every else rnd.sample(range(len(text)), n), reverse=True):
+        part[at : at + 1] = (["z"], ["z", part[at]], [])[rnd.randrange(3)]
+    return "".join(part)
+
+
+@pytest.mark.parametrize("rate, every", [(0.05, 0), (0.1, 0), (0.15, 0), (0.2, 0), (0.1, 10), (0.2, 5)])
+def test_recall_against_brute_force(spark, rate, every):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
-    items = [" ".join(word() for _ in range(35)) for _ in range(10)]
+    items = [" ".join(word() for _ in range(35)) for _ in range(20)]
     rows, due = [], {}
-    for k in range(200):
-        item, part = items[k % 10], list(items[k % 10])
-        for at in rnd.sample(range(len(part)), int((0.1, 0.15, 0.19, 0.2)[k // 10 % 4] * len(part))):
-            part[at] = "z"
-        rows.append((k, "noise here " + "".join(part) + " and noise there"))
-        seeded = any("z" not in part[at : at + 12] for at in range(len(part) - 11))
-        best = edit_match(item.encode(), rows[k][1].encode(), int(0.2 * len(item) + 1e-9))
-        if seeded and best:
-            due[k] = (k % 10, best[2])
-    got = matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    for k in range(100):
+        rows.append((k, "noise here " + edited(rnd, items[k % 20], rate, every) + " and noise there " + word()))
+        best = edit_match(items[k % 20].encode(), rows[k][1].encode(), int(0.2 * len(items[k % 20]) + 1e-9))
+        if best:
+            due[k] = (k % 20, best[2])
+    got = matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_bytes=3000).collect()
     found = {r.doc_id: {(h.item_id, h.distance) for h in r.hits} for r in got}
-    assert len(due) > 150 and all(x in found[k] for k, x in due.items())
+    assert len(due) == 100 and sum(x in found[k] for k, x in due.items()) >= 90
+    assert all({h[0] for h in found[k]} <= {k % 20} for k in found)
+
+
+def test_pieces_never_sum_to_more_than_the_distance():
+    rnd = random.Random(6)
+    items = [bytes(rnd.choice(b"abcd ") for _ in range(rnd.randrange(50, 300))) for _ in range(30)]
+    index = Index(list(range(30)), items, 0.8)
+    texts = [b"x" * 70 + edited(rnd, t.decode(), 0.2).encode() + b"y" * 70 for t in items]
+    x = np.frombuffer(b" ".join([*texts, bytes(1000)]), np.uint8)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1] + 70
+    assert index.plausible(x, np.arange(30), begin, begin).tolist() == list(range(30))
+
+
+def test_odd_rows_repeated_rows_and_very_long_texts(spark, odd_docs, odd_rows):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    item, brief = " ".join(word() for _ in range(30)), "qqq zzz www"
+    items = spark.createDataFrame([(1, item), (2, brief), (2, brief), (3, odd_rows[14][1])], "item_id long, text string")
+    want = {d for d, t, *_ in odd_rows if odd_rows[14][1] in (t or "")}
+    got = matches(odd_docs, items).collect()
+    assert len(got) == len(odd_rows) and {r.doc_id for r in got if r.hits} == want
+    long = " ".join(word() for _ in range(500_000))
+    rows = [(1, long + " " + edited(rnd, item, 0.1) + " " + long[:1000]), (1, brief), (1, brief), (2, long[:500] + " qqq zxz www")]
+    got = matches(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, [h.item_id for h in r.hits]) for r in got) == [(1, [1]), (1, [2, 2]), (1, [2, 2]), (2, [2, 2])]
