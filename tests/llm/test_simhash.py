@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from lodestar.llm.common import connected_components
-from lodestar.llm.simhash import blocks, simhash_components, trie_pairs
+from lodestar.llm.simhash import blocks, first_bits, simhash_components, trie_pairs
 
 
 def brute_fp(text):
@@ -65,3 +65,27 @@ def test_components_of_long_chains(spark):
     chain = [(k, k + 1) for k in range(0, 300)] + [(1000 + 7 * k % 50, 1000 + 7 * (k + 1) % 50) for k in range(49)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert all(got[k] == 0 for k in range(301)) and {got[k] for k in got if k >= 1000} == {1000}
+
+
+def test_near_copies_are_linked_by_several_fingerprints(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(20000)}"
+    rows, pairs = [], []
+    for k in range(200):
+        words = [word() for _ in range(200)]
+        other = list(words)
+        for at in rnd.sample(range(200), (1, 3, 40)[k % 3]):
+            other[at] = word()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 5, 6).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(200)]
+    assert sum(linked[0::3]) >= 65 and sum(linked[1::3]) >= 35 and not any(linked[2::3])
+    assert all(got[2 * k] == 2 * k for k in range(200))
+
+
+def test_first_bits_is_a_permutation_with_the_mask_on_top():
+    rnd = random.Random(2)
+    for m in blocks(7, 5):
+        bits = [b for b in range(63, -1, -1) if m >> b & 1] + [b for b in range(63, -1, -1) if not m >> b & 1]
+        x = rnd.getrandbits(64)
+        assert int(first_bits(np.array([x], np.uint64), m)[0]) == sum((x >> b & 1) << 63 - k for k, b in enumerate(bits))
