@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import give_back, slices, table, utf8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +58,7 @@ class Transducer:
         self.states: list[tuple] = [((-1, 0),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.step: dict[int, tuple[int, int, bool]] = {}  # state * 256 + byte -> state * 256, token that ends, whether it is certain
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # left << 32 | right
         self.pieces: dict[str, bytes] = {}
 
     def _split(self, rank: int) -> tuple[int, int] | None:
@@ -89,7 +89,8 @@ class Transducer:
         Of equal ranks the leftmost is merged first: a merge inside the left token precedes one over the border, which
         precedes one inside the right token.
         """
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
             known = True
             for a, a_until in self._edge(left, 1):
@@ -97,7 +98,7 @@ class Transducer:
                     rank = self.ranks.get(self.token[a] + self.token[b])
                     if rank is not None and rank < a_until and rank <= b_until:
                         known = False
-            self.fits[left, right] = known
+            self.fits[pair] = known
         return known
 
     def _next(self, at: int) -> tuple[int, int, bool]:
@@ -221,11 +222,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """`docs` with the column ids (array of int): whole texts encoded by the vocabulary file at `path`.
 
     Null texts are taken as empty and give an empty array. The file is read where the tasks run, so `path` must exist
-    on every machine; it is never copied.
+    on every machine; it is never copied. Other columns pass through, but for one named ids, which is replaced.
     """
     def run(batches):
         coder, compiled, _ = _coder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, text):
             at = batch.schema.get_field_index(text)
             ids = [np.frombuffer(coder.packed(t.as_py() or "", compiled), "<u4").astype(np.int32) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """`encoded` with the column decoded: the text of its ids, decoded as a stream; null ids give null."""
+    """`encoded` with the column decoded: the text of its ids, decoded as a stream; null ids give null; a column named decoded is replaced."""
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("ids")
@@ -257,7 +258,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder, compiled, tokens = _coder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for cell in batch.column(1):
                 text = cell.as_py() or ""
@@ -271,7 +272,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 whole.append(stream.close())
                 for to, value in zip(out, (len(numbers), hashlib.sha256(ids).hexdigest(), digest.hexdigest(), "".join(whole) == text)):
                     to.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)] if batch.num_rows else [batch.column(0), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names=names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean")

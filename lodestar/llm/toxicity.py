@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import give_back, held_out, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 # Common English insults, the lexicon that does not depend on labels.
@@ -160,10 +160,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         index, compiled = {t: k for k, t in enumerate(model.terms)}, [re.compile(p) for p in PATTERNS]
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             logit = [float(features(t.as_py(), index, compiled) @ weights) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(np.array(logit, float), -30, 30))), pa.float64())], names=[*batch.schema.names, "toxicity"])
+        give_back()
 
     docs = docs.drop("toxicity")
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", toxicity double")

@@ -9,6 +9,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
+STRETCH = 1 << 17
 _powers: list[np.ndarray] = []
 
 
@@ -18,11 +19,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, b % 2**64, np.uint64)]) for b in (BASE, pow(BASE, -1, 2**64))]
-    return _powers[0], _powers[1]
+def _power(n: int) -> list[np.ndarray]:
+    """Powers 0..n of BASE and of its inverse; those of a stretch are kept, longer ones are not."""
+    make = lambda size: [np.cumprod(np.r_[np.uint64(1), np.full(size, b % 2**64, np.uint64)]) for b in (BASE, pow(BASE, -1, 2**64))]
+    if n > 2 * STRETCH:
+        return make(n)
+    if not _powers:
+        _powers[:] = make(2 * STRETCH)
+    return _powers
 
 
 class Words:
@@ -38,9 +42,14 @@ class Words:
         solid = ~SPACE[data]
         turn = np.flatnonzero(np.diff(np.r_[False, solid, False].view(np.int8)))
         self.start, self.end = turn[::2], turn[1::2]
-        power, inverse = _power(len(data))
-        total = np.r_[np.uint64(0), np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)])]
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        self.hash = np.empty(len(self.start), np.uint64)
+        cuts = np.searchsorted(self.start, np.arange(0, len(data) + STRETCH, STRETCH)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):  # words by the stretch of bytes they begin in
+            if b > a:
+                low, high = int(self.start[a]), int(self.end[b - 1])
+                power, inverse = _power(high - low)
+                total = np.r_[np.uint64(0), np.cumsum((LOWER[data[low:high]].astype(np.uint64) + np.uint64(1)) * power[: high - low])]
+                self.hash[a:b] = mix((total[self.end[a:b] - low] - total[self.start[a:b] - low]) * inverse[self.start[a:b] - low])
         self.word_edge = np.searchsorted(self.start, self.edge)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
