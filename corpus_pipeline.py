@@ -29,9 +29,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id. Rows without doc_id stay."""
-    keep = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id. Rows without doc_id stay.
+
+    Near-duplicates have an equal or similar set of 5-word shingles: one of six fingerprints within 5 bits. How that follows the
+    similarity is in the README. Rows that share a doc_id go or stay together, but of rows equal in doc_id and text one stays.
+    """
+    keep = simhash_components(docs, budget=5, width=5, prints=6).where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return first.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 
