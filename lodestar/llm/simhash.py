@@ -71,7 +71,7 @@ def first_bits(fps: np.ndarray, mask: int) -> np.ndarray:
     return out
 
 
-def trie_pairs(fps: np.ndarray, group: np.ndarray, mask: int, budget: int, most: int = 1 << 20):
+def trie_pairs(fps: np.ndarray, group: np.ndarray, mask: int, budget: int, most: int = 1 << 16):
     """Yield index arrays (a, b), a before b, of the fingerprints of one group within `budget` differing bits.
 
     `fps` (uint64, no repeats in a group) are sorted by (group, bits outside `mask`) and agree on `mask` in a group. An
@@ -132,6 +132,7 @@ def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7) -> D
         if not got:
             return
         whole = pa.Table.from_batches(got)
+        del got
         turn, fp, rep, way = (whole.column(c).to_numpy() for c in ("turn", "fp", "rep", "way"))
         # the bits of the mask go first, so that one walk serves the groups of all masks
         moved = np.zeros(len(fp), np.uint64)
@@ -151,6 +152,8 @@ def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7) -> D
             roots = local_roots(np.concatenate(a_all), np.concatenate(b_all))
             pairs = [(x, y) for x, y in roots.items() if x != y]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["src", "dst"])
+        del whole, turn, fp, rep, way, moved, order, head, group, a_all, b_all
+        give_back()
 
     links = dealt.repartition("turn", "way", "key").drop("key").mapInArrow(run, "src long, dst long")
     return links.unionByName(equal)
