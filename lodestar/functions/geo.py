@@ -81,3 +81,44 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     length = dx * dx + dy * dy
     t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / length)))
     return F.hypot(px - ax - t * dx, py - ay - t * dy)
+
+
+def destination(lon: Column, lat: Column, azimuth: Column, metres: Column) -> tuple[Column, Column]:
+    """Where a great circle leads from a place after so many metres."""
+    p, b, a = F.radians(lat), F.radians(azimuth), metres / EARTH
+    q = F.asin(F.sin(p) * F.cos(a) + F.cos(p) * F.sin(a) * F.cos(b))
+    return lon + F.degrees(F.atan2(F.sin(b) * F.sin(a) * F.cos(p), F.cos(a) - F.sin(p) * F.sin(q))), F.degrees(q)
+
+
+# The WGS84 ellipsoid.
+AXIS, ECC2 = 6_378_137.0, 0.00669437999014
+
+
+def to_utm(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """(zone, easting, northing from the equator) by the transverse Mercator series."""
+    zone = F.floor((lon + 180) / 6).cast("int") % 60 + 1
+    p, e2 = F.radians(lat), ECC2 / (1 - ECC2)
+    n = AXIS / F.sqrt(1 - ECC2 * F.pow(F.sin(p), F.lit(2)))
+    t, k, a = F.pow(F.tan(p), F.lit(2)), e2 * F.pow(F.cos(p), F.lit(2)), F.cos(p) * F.radians(lon - (zone * 6 - 183))
+    m = AXIS * (0.99832429843134 * p - 0.00251460707284 * F.sin(2 * p) + 0.00000263904662 * F.sin(4 * p) - 0.00000000341804 * F.sin(6 * p))
+    up = lambda n_: F.pow(a, F.lit(n_))
+    x = 500000 + 0.9996 * n * (a + (1 - t + k) * up(3) / 6 + (5 - 18 * t + t * t + 72 * k - 58 * e2) * up(5) / 120)
+    y = 0.9996 * (m + n * F.tan(p) * (a * a / 2 + (5 - t + 9 * k + 4 * k * k) * up(4) / 24 + (61 - 58 * t + t * t + 600 * k - 330 * e2) * up(6) / 720))
+    return zone, x, y
+
+
+def datum_shift(lon: Column, lat: Column, height: Column, move: tuple[float, float, float], turn: tuple[float, float, float], ppm: float, rounds: int = 5) -> tuple[Column, Column, Column]:
+    """(lon, lat, height) after a seven-parameter shift: metres, arc seconds and parts per million; both datums on WGS84's ellipsoid."""
+    p, q = F.radians(lat), F.radians(lon)
+    n = AXIS / F.sqrt(1 - ECC2 * F.pow(F.sin(p), F.lit(2)))
+    x, y, z = (n + height) * F.cos(p) * F.cos(q), (n + height) * F.cos(p) * F.sin(q), (n * (1 - ECC2) + height) * F.sin(p)
+    rx, ry, rz = (math.radians(t / 3600) for t in turn)
+    s = 1 + ppm / 1e6
+    x, y, z = move[0] + s * x - rz * y + ry * z, move[1] + rz * x + s * y - rx * z, move[2] - ry * x + rx * y + s * z
+    r = F.hypot(x, y)
+    lat2 = F.atan2(z, r * (1 - ECC2))
+    for _ in range(rounds):
+        n = AXIS / F.sqrt(1 - ECC2 * F.pow(F.sin(lat2), F.lit(2)))
+        lat2 = F.atan2(z + ECC2 * n * F.sin(lat2), r)
+    n = AXIS / F.sqrt(1 - ECC2 * F.pow(F.sin(lat2), F.lit(2)))
+    return F.degrees(F.atan2(y, x)), F.degrees(lat2), r / F.cos(lat2) - n
