@@ -63,10 +63,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return top_n(df, keys, order, 1, "_nth").drop("_nth")
 
 
-def lookup(df: DataFrame, small: DataFrame, on: str, most_rows: int = 100_000) -> DataFrame:
-    """Left join with a table of extra columns; it is broadcast only when its size has been counted to be small."""
-    few = small.limit(most_rows + 1).count() <= most_rows
-    return df.join(F.broadcast(small) if few else small, on, "left")
+def lookup(df: DataFrame, small: DataFrame, on: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """Left join with a table of extra columns; it is broadcast only when its rows and their width have been counted to be small."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in small.columns), F.lit(16))
+    size = small.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return df.join(F.broadcast(small) if size <= most_bytes else small, on, "left")
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -110,3 +111,25 @@ def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     side = lambda df: df.select(F.col(key), F.xxhash64(*[c for c in sorted(df.columns) if c != key]).alias("h"))
     a, b = side(before).withColumnRenamed("h", "a"), side(after).withColumnRenamed("h", "b")
     return a.join(b, key, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(key, F.when(F.col("a").isNull(), "Added").when(F.col("b").isNull(), "Deleted").otherwise("Modified").alias("change"))
+
+
+def equi_depth(df: DataFrame, column: str, tie: str, buckets: int) -> DataFrame:
+    """(bucket 1.., n, least, most) of buckets with equal counts, the first ones one larger.
+
+    Rows are sorted into ranges by Spark's sampled range partitioning; counts per range give each row its place, so no task sees them all.
+    """
+    from ..checkpoint import durable
+
+    rows = durable(df.where(F.col(column).isNotNull()).select(column, tie).repartitionByRange(column, tie).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r["_p"], r["count"]) for r in rows.groupBy("_p").count().collect())
+    before, n = {}, 0
+    for p, size in sizes:
+        before[p], n = n, n + size
+    if not n:
+        return rows.select(F.lit(1).alias("bucket"), F.lit(0).cast("long").alias("n"), F.col(column).alias("least"), F.col(column).alias("most")).limit(0)
+    start = F.element_at(F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)]), F.col("_p"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column, tie)) - 1 + start
+    small, extra = divmod(n, buckets)
+    wide = extra * (small + 1)
+    bucket = F.when(place < wide, F.floor(place / (small + 1))).otherwise(extra + F.floor((place - wide) / max(1, small)))
+    return rows.withColumn("bucket", (bucket + 1).cast("long")).groupBy("bucket").agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"))

@@ -60,18 +60,20 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None =
     """
     from ..checkpoint import durable
 
-    best = sources.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path"))
-    best = frontier = durable(best)
+    # new names for the columns: frames that were cut from their lineage meet themselves in the joins below
+    cut = lambda df: durable(df.select(*[F.col(c).alias(c) for c in ("origin", "node", "cost", "path")]))
+    best = frontier = cut(sources.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path")))
     for _ in range(rounds):
         steps = frontier.alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.src")).select("origin", F.col("e.dst").alias("node"), (F.col("f.cost") + F.col("e.cost")).alias("cost"), F.concat("path", F.array("e.dst")).alias("path"))
         if cutoff is not None:
             steps = steps.where(F.col("cost") <= cutoff)
-        old = best.select("origin", "node", F.col("cost").alias("was"))
-        step = steps.groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("origin", "node", "b.cost", "b.path")
-        better = durable(step.join(old, ["origin", "node"], "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was"))).drop("was"))
+        step = steps.groupBy(F.col("origin").alias("o"), F.col("node").alias("n")).agg(F.min(F.struct("cost", "path")).alias("b"))
+        old = best.select(F.col("origin").alias("o"), F.col("node").alias("n"), F.col("cost").alias("was"))
+        better = cut(step.join(old, ["o", "n"], "left").where(F.col("was").isNull() | (F.col("b.cost") < F.col("was"))).select(F.col("o").alias("origin"), F.col("n").alias("node"), "b.cost", "b.path"))
         if better.isEmpty():
             return best
-        best = durable(best.join(better.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(better))
+        gone = better.select(F.col("origin").alias("o"), F.col("node").alias("n"))
+        best = cut(best.join(gone, (F.col("origin") == F.col("o")) & (F.col("node") == F.col("n")), "left_anti").unionByName(better))
         frontier = better
     raise RuntimeError(f"paths still became cheaper after {rounds} rounds")
 
