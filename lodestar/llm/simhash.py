@@ -125,7 +125,8 @@ def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7) -> D
     alike = Window.partitionBy("turn", "fp")
     named = each.withColumn("least", F.min("rep").over(alike))
     equal = named.where("rep <> least").select(F.col("rep").alias("src"), F.col("least").alias("dst"))
-    dealt = named.where("rep = least").select("turn", "fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("way")).withColumn("key", F.col("fp").bitwiseAND(F.get(signed, F.col("way"))))
+    dealt = named.where("rep = least").select("turn", "fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("way"))
+    key = F.col("fp").bitwiseAND(F.get(signed, F.col("way")))
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
@@ -155,7 +156,7 @@ def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7) -> D
         del whole, turn, fp, rep, way, moved, order, head, group, a_all, b_all
         give_back()
 
-    links = dealt.repartition("turn", "way", "key").drop("key").mapInArrow(run, "src long, dst long")
+    links = dealt.repartition("turn", "way", key).mapInArrow(run, "src long, dst long")
     return links.unionByName(equal)
 
 
