@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from .queries import billing, business, events, geo, governance, networks, pipelines, relational, spatial, text_ml  # noqa: E402,F401
+from .queries import billing, business, events, geo, governance, networks, pipelines, rasters, relational, spatial, text_ml  # noqa: E402,F401
