@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import partitions, table
 
 SCALE, TOP = 1024.0, np.iinfo(np.int64).max
-TILE = "slot long, dim int, n int, ids binary, cells binary, kind string"
+TILE = "tile long, dim int, n int, ids binary, cells binary, kind string"
 LISTS = "block long, slot long, n int, queries binary, width int, ids binary, scores binary"
 
 
@@ -21,39 +21,29 @@ def _pack(values: np.ndarray) -> tuple[bytes, str]:
     return (values.astype(np.int16).tobytes(), "int16") if small else (values.tobytes(), "float64")
 
 
-def _tiles(rows_per_tile: int, n_slots: int):
-    """Batches of (id, vector of double) to tiles of one vector length; vectors that take no part are left out."""
-    def run(batches):
-        waiting: dict[int, list] = {}
+def _tiles(rows_per_tile: int):
+    """A group of vectors of one length to tiles; the rows are sorted first, so a task that runs again makes the same tiles."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids = rows.column("vec_id").to_numpy()
+        cells = np.asarray(rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
+        cells = np.nan_to_num(np.floor(SCALE * cells))  # what is too large to scale becomes the largest number
+        order = np.lexsort((*cells.T[::-1], ids))
+        ids, cells, out = ids[order].astype(np.int64), cells[order], []
+        for at in range(0, len(ids), rows_per_tile):
+            part = slice(at, at + rows_per_tile)
+            cell, kind = _pack(cells[part])
+            out.append({"tile": key[0].as_py() * (1 << 20) + at // rows_per_tile, "dim": key[1].as_py(), "n": len(ids[part]), "ids": ids[part].tobytes(), "cells": cell, "kind": kind})
+        return pa.Table.from_pylist(out, schema=SCHEMA)
+
+    SCHEMA = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary()), ("kind", pa.string())])
+    return run
 
-        def tile(dim):
-            ids, cells = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
-            for at in range(0, len(ids), rows_per_tile):
-                part = ids[at : at + rows_per_tile]
-                order = np.argsort(part, kind="stable")
-                cell, kind = _pack(cells[at : at + rows_per_tile][order])
-                slot = int(np.bitwise_xor.reduce((part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % n_slots
-                yield pa.RecordBatch.from_pylist([{"slot": slot, "dim": dim, "n": len(part), "ids": part[order].tobytes(), "cells": cell, "kind": kind}], schema=SCHEMA)
 
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat, offsets = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-            lengths = np.diff(offsets)
-            for dim in np.unique(lengths).tolist():
-                if not dim:
-                    continue
-                rows = np.flatnonzero(lengths == dim)
-                cells = flat[offsets[rows][:, None] + np.arange(dim)]
-                fine = np.isfinite(cells).all(axis=1)
-                if fine.any():
-                    waiting.setdefault(dim, []).append((ids[rows[fine]].astype(np.int64), np.floor(SCALE * cells[fine])))
-                    if sum(len(x) for x, _ in waiting[dim]) >= rows_per_tile:
-                        yield from tile(dim)
-        for dim in list(waiting):
-            yield from tile(dim)
-
-    SCHEMA = pa.schema([("slot", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary()), ("kind", pa.string())])
-    return run
+def _tiled(vectors: DataFrame, rows_per_tile: int) -> DataFrame:
+    """Vectors (vec_id, embedding) in tiles of about `rows_per_tile`; which rows share a tile hangs on their content alone."""
+    n = max(1, -(-vectors.count() // rows_per_tile))
+    keyed = vectors.withColumn("tile", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n))).withColumn("dim", F.size("embedding"))
+    return keyed.groupBy("tile", "dim").applyInArrow(_tiles(rows_per_tile), TILE)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +83,7 @@ def _search(k: int):
 
 
 def _merge(k: int):
-    def run(key, lists: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
         n = int(lists["n"].iloc[0])
         ids = np.concatenate([np.frombuffer(x, np.int64).reshape(n, -1) for x in lists["ids"]], axis=1)
         scores = np.concatenate([np.frombuffer(x, np.int64).reshape(n, -1) for x in lists["scores"]], axis=1)
@@ -113,15 +103,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: i
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with null vec_id; only
     vectors of one length are compared. A row's own vec_id is no candidate for it, and repeated rows give repeated
-    candidates; queries are taken once per vec_id. With fewer candidates than k all are returned; empty tables give an
+    candidates; queries are taken once per vec_id, of several vectors the least. With fewer candidates than k all are returned; empty tables give an
     empty result; other columns are ignored. Products outside the range of a long are clipped to it.
     """
     spark = candidates.sparkSession
     slots = partitions(spark)
-    vector = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    tiles = vector(candidates).mapInArrow(_tiles(tile_rows, slots), TILE)
-    asked = vector(queries).dropDuplicates(["vec_id"])
-    blocks = asked.mapInArrow(_tiles(query_block, 1 << 40), TILE).select(F.col("slot").alias("block"), F.col("dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("kind").alias("q_kind"))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vector = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where((F.size("embedding") > 0) & whole)
+    tiles = _tiled(vector(candidates), tile_rows).withColumn("slot", F.pmod("tile", F.lit(slots).cast("long"))).drop("tile")
+    asked = vector(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks = _tiled(asked, query_block).select(F.xxhash64("tile", "dim").alias("block"), F.col("dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("kind").alias("q_kind"))
     sent = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("slot", F.col("slot").cast("long"))
     lists = sent.join(tiles, ["slot", "dim"]).mapInArrow(_search(k), LISTS)
     lists = lists.groupBy("block", "slot").applyInPandas(_merge(k), LISTS)
