@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,20 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: float, most: float = 720
     Points that find k within the radius are done, for anything outside is farther; the others go on with twice the
     radius, until it spans `most`.
     """
-    done, left = None, a
+    from ..checkpoint import durable
+
+    done, left = [], a
     while True:
         ranked = within_distance(left, b, radius).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "id2"))).where(F.col("rank") <= k)
         if radius >= most:
-            return ranked if done is None else done.unionByName(ranked)
+            return reduce(DataFrame.unionByName, [*done, ranked])
+        # each round starts from what it needs, cut from the rounds before
+        ranked = durable(ranked)
         full = ranked.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
-        some = ranked.join(full, "id", "left_semi")
-        done = some if done is None else done.unionByName(some)
-        left = left.join(full, "id", "left_anti")
+        done.append(ranked.join(full, "id", "left_semi"))
+        left = durable(left.join(full, "id", "left_anti"))
         if left.isEmpty():
-            return done
+            return reduce(DataFrame.unionByName, done)
         radius *= 2
 
 

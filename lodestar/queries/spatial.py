@@ -152,10 +152,11 @@ def f13(s, d):
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-@query("h3_vegetation_indices", "SELECT scene, r, c, CASE WHEN nir+red=0 THEN 0 ELSE round((nir-red)/(nir+red), 6) END AS ndvi, round(2.5*(nir-red)/(nir+6*red-7.5*blue+1), 4) AS evi, round(1.5*(nir-red)/(nir+red+0.5), 6) AS savi FROM fx_pixels WHERE abs(nir+6*red-7.5*blue+1) > 0.001")
+@query("h3_vegetation_indices", "SELECT scene, r, c, CASE WHEN nir+red=0 THEN 0 ELSE round((nir-red)/(nir+red), 6) END AS ndvi, CASE WHEN abs(nir+6*red-7.5*blue+1) > 0.001 THEN round(2.5*(nir-red)/(nir+6*red-7.5*blue+1), 4) END AS evi, round(1.5*(nir-red)/(nir+red+0.5), 6) AS savi FROM fx_pixels")
 def h3(s, d):
     n, r, b = F.col("nir"), F.col("red"), F.col("blue")
-    return load(s, d, "fx_pixels").where(F.abs(n + 6 * r - 7.5 * b + 1) > 0.001).select("scene", "r", "c", F.when(n + r == 0, 0.0).otherwise(r6((n - r) / (n + r))).alias("ndvi"), F.round(2.5 * (n - r) / (n + 6 * r - 7.5 * b + 1), 4).alias("evi"), r6(1.5 * (n - r) / (n + r + 0.5)).alias("savi"))
+    den = n + 6 * r - 7.5 * b + 1
+    return load(s, d, "fx_pixels").select("scene", "r", "c", F.when(n + r == 0, 0.0).otherwise(r6((n - r) / (n + r))).alias("ndvi"), F.when(F.abs(den) > 0.001, F.round(2.5 * (n - r) / den, 4)).alias("evi"), r6(1.5 * (n - r) / (n + r + 0.5)).alias("savi"))
 
 
 @query("h4_water_indices", "SELECT scene, r, c, CASE WHEN green+nir=0 THEN 0 ELSE round((green-nir)/(green+nir), 6) END AS ndwi, round(4*(green-swir1)-(0.25*nir+2.75*swir2), 6) AS awei FROM fx_pixels")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import load
+from ..operators.search import bm25
 from ..registry import query
 
 r6 = lambda c: F.round(c, 6)
@@ -75,9 +76,9 @@ def terms(s, d):
     return load(s, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where("term <> ''")
 
 
-@query("k4_postings", f"SELECT term, doc_id, count(*) AS tf FROM ({TERMS}) GROUP BY 1, 2 HAVING count(*) > 3")
+@query("k4_postings", f"SELECT term, doc_id, count(*) AS tf FROM ({TERMS}) GROUP BY 1, 2")
 def k4(s, d):
-    return terms(s, d).groupBy("term", "doc_id").agg(F.count("*").alias("tf")).where("tf > 3")
+    return terms(s, d).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 @query("k4_index", f"""WITH t AS (SELECT doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS place, len(terms) AS dl FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS terms FROM documents))
@@ -91,14 +92,7 @@ def k4_index(s, d):
 @query("k5_bm25", f"""WITH t AS ({TERMS}), len AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term IN ('the','license','version') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
   SELECT doc_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*dl/av))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), (SELECT count(*) AS n, avg(dl) AS av FROM len) GROUP BY 1""")
 def k5(s, d):
-    t = terms(s, d)
-    length = t.groupBy("doc_id").agg(F.count("*").alias("dl"))
-    n, av = length.agg(F.count("*"), F.avg("dl")).first()
-    tf = t.where(F.col("term").isin("the", "license", "version")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(av)))
-    return tf.join(df, "term").join(length, "doc_id").groupBy("doc_id").agg(r6(F.sum(score)).alias("score"))
+    return bm25(load(s, d, "documents"), "doc_id", "text", ["the", "license", "version"]).select("doc_id", r6("score").alias("score"))
 
 
 @query("k13_levenshtein", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name) AS dist FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_nationkey<b.n_nationkey")
