@@ -26,7 +26,7 @@ def box_ring(minx, miny, maxx, maxy) -> Column:
 
 def pairs(line: Column, f) -> Column:
     """f(a, b) of every two neighbouring points."""
-    n = F.size(line) - 1
+    n = F.greatest(F.size(line) - 1, F.lit(0))
     return F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), f)
 
 

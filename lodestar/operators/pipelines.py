@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import DoubleType
 
 from .relational import AGGREGATES, condition
 
@@ -49,7 +50,7 @@ def named(name: str, *columns: str):
     return F.call_function(name, *map(F.col, columns))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log1p_abs(x: pd.Series) -> pd.Series:
     """A vectorised scalar function."""
     import numpy as np
@@ -57,7 +58,7 @@ def log1p_abs(x: pd.Series) -> pd.Series:
     return np.sign(x) * np.log1p(x.abs())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spread(x: pd.Series) -> float:
     """A vectorised aggregate: range over mean."""
     return float((x.max() - x.min()) / x.mean()) if len(x) and x.mean() else 0.0

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpoint_dir
 from ..fixtures import load
 from ..operators import learning as M
 from ..registry import query
@@ -105,13 +107,16 @@ def g14(s, d):
 
 @query("g15_random_forest")
 def g15(s, d):
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     p = load(s, d, "fx_pixels").withColumn("label", (c("nir") > c("red")).cast("double"))
     model = Pipeline(stages=[VectorAssembler(inputCols=["red", "green", "nir"], outputCol="x"), RandomForestClassifier(featuresCol="x", numTrees=8, maxDepth=5, seed=7)]).fit(p.where("scene = 0"))
-    return model.transform(p.where("scene = 1")).select("r", "c", "label", "prediction")
+    # kept where every machine can read it, as a registered model would be
+    at = f"{checkpoint_dir(s)}/model-{uuid.uuid4().hex}"
+    model.save(at)
+    return PipelineModel.load(at).transform(p.where("scene = 1")).select("r", "c", "label", "prediction")
 
 
 @query("g19_spatial_outliers", "SELECT p.id, round(abs(any_value(p.value)-avg(q.value)), 4) AS off, count(*) AS n FROM fx_points p JOIN fx_points q ON p.id<>q.id AND sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) <= 10 GROUP BY 1")

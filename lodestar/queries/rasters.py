@@ -15,7 +15,6 @@ from ..registry import query
 
 c = F.col
 r3, r4, r6 = ((lambda x, n=n: F.round(x, n)) for n in (3, 4, 6))
-B, G, R, N, S1, S2 = (c(k) for k in ("blue", "green", "red", "nir", "swir1", "swir2"))
 KEYS = ("scene", "r", "c")
 div = F.try_divide
 
@@ -36,34 +35,34 @@ def h1(s, d):
 
 @query("h2_normalised_difference", f"SELECT scene, r, c, {ND('nir', 'swir1')} AS nd, round(nir/nullif(red, 0), 6) AS ratio FROM fx_pixels")
 def h2(s, d):
-    return pixels(s, d).select(*KEYS, r6(A.ratio(N, S1)).alias("nd"), r6(div(N, R)).alias("ratio"))
+    return pixels(s, d).select(*KEYS, r6(A.ratio(c("nir"), c("swir1"))).alias("nd"), r6(div(c("nir"), c("red"))).alias("ratio"))
 
 
 @query("h3_more_vegetation", f"SELECT scene, r, c, {ND('nir', 'green')} AS gndvi, {ND('nir', 'swir2')} AS ndre, round((nir-(2*red-blue))/nullif(nir+(2*red-blue), 0), 4) AS arvi, round((2*nir+1-sqrt(greatest(0, pow(2*nir+1,2)-8*(nir-red))))/2, 6) AS msavi, CASE WHEN abs(nir+6*red-7.5*blue+1) > 0.001 THEN round(3.618*2.5*(nir-red)/(nir+6*red-7.5*blue+1)-0.118, 4) END AS lai FROM fx_pixels")
 def h3(s, d):
-    rb, den = 2 * R - B, N + 6 * R - 7.5 * B + 1
-    return pixels(s, d).select(*KEYS, r6(A.ratio(N, G)).alias("gndvi"), r6(A.ratio(N, S2)).alias("ndre"), r4(div(N - rb, N + rb)).alias("arvi"), r6((2 * N + 1 - F.sqrt(F.greatest(F.lit(0.0), F.pow(2 * N + 1, F.lit(2)) - 8 * (N - R)))) / 2).alias("msavi"),
-                               F.when(F.abs(den) > 0.001, r4(3.618 * 2.5 * (N - R) / den - 0.118)).alias("lai"))
+    rb, den = 2 * c("red") - c("blue"), c("nir") + 6 * c("red") - 7.5 * c("blue") + 1
+    return pixels(s, d).select(*KEYS, r6(A.ratio(c("nir"), c("green"))).alias("gndvi"), r6(A.ratio(c("nir"), c("swir2"))).alias("ndre"), r4(div(c("nir") - rb, c("nir") + rb)).alias("arvi"), r6((2 * c("nir") + 1 - F.sqrt(F.greatest(F.lit(0.0), F.pow(2 * c("nir") + 1, F.lit(2)) - 8 * (c("nir") - c("red"))))) / 2).alias("msavi"),
+                               F.when(F.abs(den) > 0.001, r4(3.618 * 2.5 * (c("nir") - c("red")) / den - 0.118)).alias("lai"))
 
 
 @query("h4_more_water", f"SELECT scene, r, c, {ND('green', 'swir1')} AS mndwi, round((green+red)/nullif(nir+swir1, 0), 6) AS wri, {ND('nir', 'swir1')} AS ndmi, {ND('blue', 'swir1')} AS swi, (CASE WHEN green+swir1=0 THEN 0 ELSE (green-swir1)/(green+swir1) END) > 0.1 AS water FROM fx_pixels")
 def h4(s, d):
-    return pixels(s, d).select(*KEYS, r6(A.ratio(G, S1)).alias("mndwi"), r6(div(G + R, N + S1)).alias("wri"), r6(A.ratio(N, S1)).alias("ndmi"), r6(A.ratio(B, S1)).alias("swi"), (A.ratio(G, S1) > 0.1).alias("water"))
+    return pixels(s, d).select(*KEYS, r6(A.ratio(c("green"), c("swir1"))).alias("mndwi"), r6(div(c("green") + c("red"), c("nir") + c("swir1"))).alias("wri"), r6(A.ratio(c("nir"), c("swir1"))).alias("ndmi"), r6(A.ratio(c("blue"), c("swir1"))).alias("swi"), (A.ratio(c("green"), c("swir1")) > 0.1).alias("water"))
 
 
 @query("h5_built_up", f"SELECT scene, r, c, {ND('swir1', 'nir')} AS ndbi, {ND('swir2', 'nir')} AS ui, round((swir1-nir)/nullif(10*sqrt(swir1+swir2), 0), 6) AS ebbi, round((CASE WHEN swir1+nir=0 THEN 0 ELSE (swir1-nir)/(swir1+nir) END)-(CASE WHEN nir+red=0 THEN 0 ELSE (nir-red)/(nir+red) END), 6) AS bui FROM fx_pixels")
 def h5(s, d):
-    return pixels(s, d).select(*KEYS, r6(A.ratio(S1, N)).alias("ndbi"), r6(A.ratio(S2, N)).alias("ui"), r6(div(S1 - N, 10 * F.sqrt(S1 + S2))).alias("ebbi"), r6(A.ratio(S1, N) - A.ratio(N, R)).alias("bui"))
+    return pixels(s, d).select(*KEYS, r6(A.ratio(c("swir1"), c("nir"))).alias("ndbi"), r6(A.ratio(c("swir2"), c("nir"))).alias("ui"), r6(div(c("swir1") - c("nir"), 10 * F.sqrt(c("swir1") + c("swir2")))).alias("ebbi"), r6(A.ratio(c("swir1"), c("nir")) - A.ratio(c("nir"), c("red"))).alias("bui"))
 
 
 @query("h6_band_math", "SELECT scene, r, c, round(2*red+0.5*nir-blue, 6) AS combined, round(sqrt(red*nir), 6) AS root, round(ln(1+green), 6) AS logged, greatest(red, green, blue) AS most, round(pow(nir, 2), 6) AS squared FROM fx_pixels")
 def h6(s, d):
-    return pixels(s, d).select(*KEYS, r6(2 * R + 0.5 * N - B).alias("combined"), r6(F.sqrt(R * N)).alias("root"), r6(F.log(1 + G)).alias("logged"), F.greatest(R, G, B).alias("most"), r6(F.pow(N, F.lit(2))).alias("squared"))
+    return pixels(s, d).select(*KEYS, r6(2 * c("red") + 0.5 * c("nir") - c("blue")).alias("combined"), r6(F.sqrt(c("red") * c("nir"))).alias("root"), r6(F.log(1 + c("green"))).alias("logged"), F.greatest(c("red"), c("green"), c("blue")).alias("most"), r6(F.pow(c("nir"), F.lit(2))).alias("squared"))
 
 
 @query("h7_thresholds", "SELECT scene, r, c, (nir > 0.5)::INT AS above, (red BETWEEN 0.2 AND 0.6)::INT AS within FROM fx_pixels")
 def h7(s, d):
-    return pixels(s, d).select(*KEYS, (N > 0.5).cast("int").alias("above"), R.between(0.2, 0.6).cast("int").alias("within"))
+    return pixels(s, d).select(*KEYS, (c("nir") > 0.5).cast("int").alias("above"), c("red").between(0.2, 0.6).cast("int").alias("within"))
 
 
 @query("h8_raster_calculator", "SELECT a.r, a.c, round(a.nir+b.red, 6) AS total, round(a.nir*b.red, 6) AS product, round(sin(a.green)-cos(b.green), 6) AS waves FROM fx_pixels a JOIN fx_pixels b ON a.r=b.r AND a.c=b.c AND a.scene=0 AND b.scene=1")
@@ -75,8 +74,8 @@ def h8(s, d):
 
 @query("h9_reclassify", "SELECT scene, r, c, CASE WHEN nir < 0.3 THEN 1.0 WHEN nir < 0.6 THEN 2.0 WHEN nir < 0.9 THEN 3.0 ELSE 0.0 END AS class, CASE WHEN red=0 THEN NULL ELSE red END AS nodata, coalesce(CASE WHEN red=0 THEN NULL ELSE red END, -1) AS filled FROM fx_pixels")
 def h9(s, d):
-    none = F.when(R != 0, R)
-    return pixels(s, d).select(*KEYS, A.reclassify(N, [(-1, 0.3, 1.0), (0.3, 0.6, 2.0), (0.6, 0.9, 3.0)], 0.0).alias("class"), none.alias("nodata"), F.coalesce(none, F.lit(-1.0)).alias("filled"))
+    none = F.when(c("red") != 0, c("red"))
+    return pixels(s, d).select(*KEYS, A.reclassify(c("nir"), [(-1, 0.3, 1.0), (0.3, 0.6, 2.0), (0.6, 0.9, 3.0)], 0.0).alias("class"), none.alias("nodata"), F.coalesce(none, F.lit(-1.0)).alias("filled"))
 
 
 @query("h10_focal", "SELECT a.r, a.c, round(sum(b.elev), 3) AS total, min(b.elev) AS least, round(stddev_pop(b.elev), 3) AS sd FROM fx_dem a JOIN fx_dem b ON b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 GROUP BY 1, 2")
@@ -87,19 +86,19 @@ def h10(s, d):
 @query("h12_stretch", "SELECT scene, r, c, round(least(255, greatest(0, 255*(nir-lo)/(hi-lo))), 4) AS v FROM fx_pixels JOIN (SELECT scene, quantile_cont(nir, 0.02) AS lo, quantile_cont(nir, 0.98) AS hi FROM fx_pixels GROUP BY 1) USING (scene)")
 def h12(s, d):
     q = pixels(s, d).groupBy("scene").agg(F.percentile("nir", 0.02).alias("lo"), F.percentile("nir", 0.98).alias("hi"))
-    return pixels(s, d).join(F.broadcast(q.limit(10_000)), "scene").select(*KEYS, r4(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 255 * (N - c("lo")) / (c("hi") - c("lo"))))).alias("v"))
+    return pixels(s, d).join(F.broadcast(q.limit(10_000)), "scene").select(*KEYS, r4(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 255 * (c("nir") - c("lo")) / (c("hi") - c("lo"))))).alias("v"))
 
 
 @query("h13_radiometric", "SELECT scene, r, c, round(nir*0.02+1.5, 6) AS radiance, round(pi()*(nir*0.02+1.5)/(1500*sin(radians(40))), 9) AS reflectance FROM fx_pixels")
 def h13(s, d):
-    x = N * 0.02 + 1.5
+    x = c("nir") * 0.02 + 1.5
     return pixels(s, d).select(*KEYS, r6(x).alias("radiance"), F.round(math.pi * x / (1500 * math.sin(math.radians(40))), 9).alias("reflectance"))
 
 
 @query("h14_dark_object", "SELECT scene, r, c, round(greatest(0, red-lo), 6) AS red FROM fx_pixels JOIN (SELECT scene, min(red) AS lo FROM fx_pixels WHERE red > 0 GROUP BY 1) USING (scene)")
 def h14(s, d):
     lo = pixels(s, d).where("red > 0").groupBy("scene").agg(F.min("red").alias("lo"))
-    return pixels(s, d).join(lo, "scene").select(*KEYS, r6(F.greatest(F.lit(0.0), R - c("lo"))).alias("red"))
+    return pixels(s, d).join(lo, "scene").select(*KEYS, r6(F.greatest(F.lit(0.0), c("red") - c("lo"))).alias("red"))
 
 
 @query("h15_dead_pixels", "SELECT a.r, a.c, CASE WHEN any_value(a.elev) > 1.5*avg(b.elev) OR any_value(a.elev)=0 THEN list_sort(list(b.elev))[count(*)//2+1] ELSE any_value(a.elev) END AS v FROM fx_dem a JOIN fx_dem b ON b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 GROUP BY 1, 2")
@@ -110,14 +109,14 @@ def h15(s, d):
 
 @query("h17_brovey", "SELECT scene, r, c, round(red*swir1/nullif(red+green+blue, 0), 6) AS red, round(green*swir1/nullif(red+green+blue, 0), 6) AS green FROM fx_pixels")
 def h17(s, d):
-    t = R + G + B
-    return pixels(s, d).select(*KEYS, r6(div(R * S1, t)).alias("red"), r6(div(G * S1, t)).alias("green"))
+    t = c("red") + c("green") + c("blue")
+    return pixels(s, d).select(*KEYS, r6(div(c("red") * c("swir1"), t)).alias("red"), r6(div(c("green") * c("swir1"), t)).alias("green"))
 
 
 @query("h18_mosaic_first_last", "SELECT r, c, arg_min(nir, scene) AS first_nir, arg_max(nir, scene) AS last_nir, round(sum(nir/(1+scene))/sum(1.0/(1+scene)), 6) AS weighted FROM fx_pixels GROUP BY 1, 2")
 def h18(s, d):
     w = 1.0 / (1 + c("scene"))
-    return pixels(s, d).groupBy("r", "c").agg(F.min_by("nir", "scene").alias("first_nir"), F.max_by("nir", "scene").alias("last_nir"), r6(F.sum(N * w) / F.sum(w)).alias("weighted"))
+    return pixels(s, d).groupBy("r", "c").agg(F.min_by("nir", "scene").alias("first_nir"), F.max_by("nir", "scene").alias("last_nir"), r6(F.sum(c("nir") * w) / F.sum(w)).alias("weighted"))
 
 
 @query("h19_resample", "SELECT scene, r//2 AS r, c//2 AS c, round(avg(nir), 6) AS mean, arg_min(nir, r*1000+c) AS nearest FROM fx_pixels GROUP BY scene, r//2, c//2")
@@ -146,20 +145,20 @@ def h21(s, d):
 
 @query("h22_minimum_distance", "WITH m AS (SELECT floor(nir*3)::INT AS k, avg(red) AS mr, avg(green) AS mg FROM fx_pixels WHERE scene=0 GROUP BY 1) SELECT r, c, arg_min(k, struct_pack(a := pow(red-mr,2)+pow(green-mg,2), b := k)) AS class FROM fx_pixels, m WHERE scene=1 GROUP BY 1, 2")
 def h22(s, d):
-    t = pixels(s, d).where("scene = 0").withColumn("k", F.floor(N * 3).cast("int"))
+    t = pixels(s, d).where("scene = 0").withColumn("k", F.floor(c("nir") * 3).cast("int"))
     return A.nearest_class(pixels(s, d).where("scene = 1"), t, ["red", "green"], "k").select("r", "c", "class")
 
 
 @query("h22_likelihood", "WITH m AS (SELECT floor(nir*3)::INT AS k, avg(red) AS mr, avg(green) AS mg, var_pop(red) AS vr, var_pop(green) AS vg FROM fx_pixels WHERE scene=0 GROUP BY 1) SELECT r, c, arg_min(k, struct_pack(a := pow(red-mr,2)/vr+ln(vr)+pow(green-mg,2)/vg+ln(vg), b := k)) AS class FROM fx_pixels, m WHERE scene=1 GROUP BY 1, 2")
 def h22_likelihood(s, d):
-    t = pixels(s, d).where("scene = 0").withColumn("k", F.floor(N * 3).cast("int"))
+    t = pixels(s, d).where("scene = 0").withColumn("k", F.floor(c("nir") * 3).cast("int"))
     return A.nearest_class(pixels(s, d).where("scene = 1"), t, ["red", "green"], "k", True).select("r", "c", "class")
 
 
 @query("h24_class_statistics", "SELECT floor(nir*4)::BIGINT AS class, count(*) AS n, round(100.0*count(*)/(SELECT count(*) FROM fx_pixels), 6) AS pct FROM fx_pixels GROUP BY 1")
 def h24(s, d):
     p = pixels(s, d)
-    return p.groupBy(F.floor(N * 4).alias("class")).agg(F.count("*").alias("n")).withColumn("pct", r6(100.0 * c("n") / F.lit(p.count())))
+    return p.groupBy(F.floor(c("nir") * 4).alias("class")).agg(F.count("*").alias("n")).withColumn("pct", r6(100.0 * c("n") / F.lit(p.count())))
 
 
 @query("h25_edges", "SELECT a.r, a.c, round(sqrt(pow(sum((b.c-a.c)*(CASE WHEN b.r=a.r THEN 2 ELSE 1 END)*b.elev),2)+pow(sum((b.r-a.r)*(CASE WHEN b.c=a.c THEN 2 ELSE 1 END)*b.elev),2)), 3) AS edge, min(b.elev) AS eroded, max(b.elev) AS dilated FROM fx_dem a JOIN fx_dem b ON b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 GROUP BY 1, 2 HAVING count(*)=9")
