@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, give_back, local_roots, slices, table, utf8
+from .common import connected_components, durable, give_back, local_roots, partitions, slices, table, utf8
 from .words import mix
 
 SEED = 42
@@ -112,12 +112,13 @@ def trie_pairs(fps: np.ndarray, group: np.ndarray, mask: int, budget: int, most:
             stack.append((depth + 1, below))
 
 
-def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7, prints: int = 1, rows_per_task: int = 250_000) -> DataFrame:
     """Links (src, dst) that connect the nodes (fps array of long, rep long) of which any fingerprint differs in `budget` bits or fewer from the same one of the other.
 
     Every node is dealt out once per mask of `blocks`, so a task only meets nodes that agree on the mask: with 7 blocks
     and budget 2 a group has at most 2**19 fingerprints, however many documents there are. In a task the links of all
-    its groups are contracted to a star per component, so copies do not become pairs.
+    its groups are contracted to a star per component, so copies do not become pairs. The number of tasks follows the
+    number of nodes, at about `rows_per_task` dealt rows a task.
     """
     masks = blocks(n_blocks, budget)
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
@@ -156,7 +157,8 @@ def link_fingerprints(nodes: DataFrame, budget: int = 2, n_blocks: int = 7) -> D
         del whole, turn, fp, rep, way, moved, order, head, group, a_all, b_all
         give_back()
 
-    links = dealt.repartition("turn", "way", key).mapInArrow(run, "src long, dst long")
+    n_tasks = max(partitions(nodes.sparkSession), nodes.count() * prints * len(masks) // rows_per_task)
+    links = dealt.repartition(n_tasks, "turn", "way", key).mapInArrow(run, "src long, dst long")
     return links.unionByName(equal)
 
 
@@ -171,7 +173,7 @@ def simhash_components(docs: DataFrame, budget: int = 2, width: int = 3, prints:
     """
     found = durable(with_fingerprints(docs, width, prints))
     nodes = found.groupBy("fps").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
-    component = connected_components(link_fingerprints(nodes, budget))
+    component = connected_components(link_fingerprints(nodes, budget, prints=prints))
     named = nodes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, "fps", "left").select("doc_id", F.lpad(F.lower(F.hex(F.get("fps", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
