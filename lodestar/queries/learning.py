@@ -38,10 +38,10 @@ def g3(s, d):
     return e.select("event_id", r6("mean").alias("mean"), F.round("sd", 5).alias("sd"), "least", "before", F.round("trend", 5).alias("trend"))
 
 
-@query("g4_region_features", "SELECT scene, r//20 AS region, round(avg(nir), 6) AS mean, round(var_pop(nir), 6) AS variance, max(nir)-min(nir) AS span, round(median(nir), 6) AS med, count(DISTINCT nir) AS levels FROM fx_pixels GROUP BY 1, 2")
+@query("g4_region_features", "SELECT scene, r//20 AS region, round(avg(nir), 9) AS mean, round(var_pop(nir), 9) AS variance, max(nir)-min(nir) AS span, round(median(nir), 6) AS med, count(DISTINCT nir) AS levels FROM fx_pixels GROUP BY 1, 2")
 def g4(s, d):
     g = load(s, d, "fx_pixels").groupBy("scene", F.expr("r div 20").alias("region"))
-    return g.agg(r6(F.avg("nir")).alias("mean"), r6(F.var_pop("nir")).alias("variance"), (F.max("nir") - F.min("nir")).alias("span"), r6(F.median("nir")).alias("med"), F.count_distinct("nir").alias("levels"))
+    return g.agg(F.round(F.avg("nir"), 9).alias("mean"), F.round(F.var_pop("nir"), 9).alias("variance"), (F.max("nir") - F.min("nir")).alias("span"), r6(F.median("nir")).alias("med"), F.count_distinct("nir").alias("levels"))
 
 
 @query("g4_region_entropy", "SELECT scene, region, round(-sum(p*ln(p)), 6) AS entropy FROM (SELECT scene, region, n/sum(n) OVER (PARTITION BY scene, region) AS p FROM (SELECT scene, r//20 AS region, floor(nir*10) AS bin, count(*) AS n FROM fx_pixels GROUP BY 1, 2, 3)) GROUP BY 1, 2")
@@ -119,12 +119,12 @@ def g15(s, d):
     return PipelineModel.load(at).transform(p.where("scene = 1")).select("r", "c", "label", "prediction")
 
 
-@query("g19_spatial_outliers", "SELECT p.id, round(abs(any_value(p.value)-avg(q.value)), 4) AS off, count(*) AS n FROM fx_points p JOIN fx_points q ON p.id<>q.id AND sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) <= 10 GROUP BY 1")
+@query("g19_spatial_outliers", "SELECT p.id, round(abs(any_value(p.value)-avg(q.value)), 6) AS off, count(*) AS n FROM fx_points p JOIN fx_points q ON p.id<>q.id AND sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) <= 10 GROUP BY 1")
 def g19(s, d):
     from ..operators.geostat import neighbours
 
     g = neighbours(load(s, d, "fx_points").select("id", "lon", "lat", "value"), 10.0).groupBy("id")
-    return g.agg(r4(F.abs(F.first("value") - F.avg("value2"))).alias("off"), F.count("*").alias("n"))
+    return g.agg(r6(F.abs(F.first("value") - F.avg("value2"))).alias("off"), F.count("*").alias("n"))
 
 
 @query("g20_naive_forecast", "SELECT user_id, step, round(m, 6) AS value, round(m-1.96*sd, 5) AS low, round(m+1.96*sd, 5) AS high FROM (SELECT user_id, avg(value) AS m, stddev_pop(value) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n <= 5 GROUP BY 1), (SELECT unnest([1, 2, 3])::INT AS step)")

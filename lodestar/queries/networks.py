@@ -55,7 +55,7 @@ def f5(s, d):
     return S.shortest_paths(roads(s, d), origins(s, d, 0), cutoff=45.0).select("node", "cost")
 
 
-@query("f6_path", BEST.format(o="0", m=45) + ", p(node, cost, path) AS (SELECT 0::BIGINT, 0.0::DOUBLE, [0::BIGINT] UNION ALL SELECT e.dst, b.cost, list_append(p.path, e.dst) FROM p JOIN e ON e.src=p.node JOIN best b ON b.node=e.dst AND b.cost=p.cost+e.cost) SELECT node, cost, min(path) AS path FROM p GROUP BY 1, 2")
+@query("f6_path", BEST.format(o="0", m=45) + ", p(node, cost, path) AS (SELECT 0::BIGINT, 0.0::DOUBLE, [0::BIGINT] UNION ALL SELECT e.dst, b.cost, list_append(p.path, e.dst) FROM p JOIN e ON e.src=p.node JOIN best b ON b.node=e.dst AND b.cost=p.cost+e.cost) SELECT node, cost, arg_min(path, struct_pack(n := len(path), p := path)) AS path FROM p GROUP BY 1, 2")
 def f6(s, d):
     return S.shortest_paths(roads(s, d), origins(s, d, 0), cutoff=45.0).select("node", "cost", "path")
 

@@ -144,12 +144,12 @@ def k19(s, d):
     return load(s, d, "part").select("p_partkey", r6(X.factor(p, "log1p")).alias("log1p"), r6(X.factor(p, "ln2p")).alias("ln2p"), r6(X.factor(p, "sqrt")).alias("root"), F.round(X.factor(p, "square"), 2).alias("square"), F.round(X.factor(p, "reciprocal"), 9).alias("reciprocal"))
 
 
-@query("k20_decays", f"SELECT id, round(exp(pow(greatest(0, {HAV}-100000), 2)*ln(0.5)/pow(2000000, 2)), 5) AS by_place, round(exp(greatest(0, abs(value-3000)-50)*ln(0.5)/1000), 6) AS by_value, round(greatest(0, 1-abs(value-3000)*0.5/2000), 5) AS straight FROM (SELECT id, value, {HAV_A} AS a FROM fx_points)")
+@query("k20_decays", f"SELECT id, round(exp(pow(greatest(0, {HAV}-100000), 2)*ln(0.5)/pow(2000000, 2)), 5) AS by_place, round(exp(greatest(0, abs(value-3000)-50)*ln(0.5)/1000), 6) AS by_value, round(greatest(0, 1-abs(value-3000)*0.5/2000), 8) AS straight FROM (SELECT id, value, {HAV_A} AS a FROM fx_points)")
 def k20(s, d):
     p = load(s, d, "fx_points")
     m = geo.haversine(c("lon"), c("lat"), F.lit(2.3), F.lit(48.8))
     off = F.abs(c("value") - 3000)
-    return p.select("id", F.round(X.decay(m, "gauss", 2e6, 1e5), 5).alias("by_place"), r6(X.decay(off, "exp", 1000.0, 50.0)).alias("by_value"), F.round(X.decay(off, "linear", 2000.0), 5).alias("straight"))
+    return p.select("id", F.round(X.decay(m, "gauss", 2e6, 1e5), 5).alias("by_place"), r6(X.decay(off, "exp", 1000.0, 50.0)).alias("by_value"), F.round(X.decay(off, "linear", 2000.0), 8).alias("straight"))
 
 
 @query("k21_score_modes", "SELECT p_partkey, a*b AS multiply, a+b AS sum, (a+b)/2 AS avg, greatest(a, b) AS max, least(a, b) AS min FROM (SELECT p_partkey, p_size/10.0::DOUBLE AS a, CASE WHEN p_brand='Brand#11' THEN 2.0 ELSE 0.5 END::DOUBLE AS b FROM part)")
