@@ -38,10 +38,10 @@ def g3(s, d):
     return e.select("event_id", r6("mean").alias("mean"), F.round("sd", 5).alias("sd"), "least", "before", F.round("trend", 5).alias("trend"))
 
 
-@query("g4_region_features", "SELECT scene, r//20 AS region, round(avg(nir), 9) AS mean, round(var_pop(nir), 9) AS variance, max(nir)-min(nir) AS span, round(median(nir), 6) AS med, count(DISTINCT nir) AS levels FROM fx_pixels GROUP BY 1, 2")
+@query("g4_region_features", "SELECT scene, r//20 AS region, round(avg(nir), 8) AS mean, round(var_pop(nir), 12) AS variance, max(nir)-min(nir) AS span, round(median(nir), 6) AS med, count(DISTINCT nir) AS levels FROM fx_pixels GROUP BY 1, 2")
 def g4(s, d):
     g = load(s, d, "fx_pixels").groupBy("scene", F.expr("r div 20").alias("region"))
-    return g.agg(F.round(F.avg("nir"), 9).alias("mean"), F.round(F.var_pop("nir"), 9).alias("variance"), (F.max("nir") - F.min("nir")).alias("span"), r6(F.median("nir")).alias("med"), F.count_distinct("nir").alias("levels"))
+    return g.agg(F.round(F.avg("nir"), 8).alias("mean"), F.round(F.var_pop("nir"), 12).alias("variance"), (F.max("nir") - F.min("nir")).alias("span"), r6(F.median("nir")).alias("med"), F.count_distinct("nir").alias("levels"))
 
 
 @query("g4_region_entropy", "SELECT scene, region, round(-sum(p*ln(p)), 6) AS entropy FROM (SELECT scene, region, n/sum(n) OVER (PARTITION BY scene, region) AS p FROM (SELECT scene, r//20 AS region, floor(nir*10) AS bin, count(*) AS n FROM fx_pixels GROUP BY 1, 2, 3)) GROUP BY 1, 2")

@@ -39,12 +39,11 @@ def test_spatial_join_is_an_equi_join(spark):
 
 
 def test_rounds_that_end_too_early_are_an_error(spark):
-    from lodestar.llm.common import connected_components
-    from lodestar.operators.spatial import shortest_paths
+    from lodestar.operators.graph import components
 
     chain = spark.createDataFrame([(k, k + 1, 1.0) for k in range(8)], "src long, dst long, cost double")
-    one = spark.createDataFrame([(0,)], "origin long")
-    for short, enough, n in ((lambda: shortest_paths(chain, one, rounds=2), lambda: shortest_paths(chain, one), 9), (lambda: connected_components(chain, 1), lambda: connected_components(chain), 9)):
+    one, nodes = spark.createDataFrame([(0,)], "origin long"), spark.range(9).select(F.col("id").alias("node"))
+    for short, enough, n in ((lambda: S.shortest_paths(chain, one, rounds=2), lambda: S.shortest_paths(chain, one), 9), (lambda: components(chain, nodes, 1), lambda: components(chain, nodes), 9)):
         with pytest.raises(RuntimeError):
             short()
         assert enough().count() == n
