@@ -490,3 +490,8 @@ def e44(s, d):
 def e45(s, d):
     near = S.nearest(points(s, d), near_sites(s, d), 1, 20.0).select("id", "id2", r6("distance").alias("distance"))
     return near.join(load(s, d, "supplier").select(c("s_suppkey").alias("id2"), c("s_name").alias("place")), "id2").select("id", "place", "distance")
+
+
+@query("e24_standard_distance", "SELECT grp, count(*) AS n, round(sqrt(var_pop(lon)+var_pop(lat)), 6) AS distance FROM fx_points GROUP BY 1")
+def e24(s, d):
+    return load(s, d, "fx_points").groupBy("grp").agg(F.count("*").alias("n"), r6(F.sqrt(F.var_pop("lon") + F.var_pop("lat"))).alias("distance"))

@@ -395,3 +395,8 @@ def r13(s, d):
     log = load(s, d, "fx_replica_log")
     a, b = (as_of(log, "k", "seq", n, ["value"]).select("k", F.col("value").alias(c)) for n, c in ((300, "a"), (700, "b")))
     return a.join(b, "k", "right").select("k", F.when(F.col("a").isNull(), "added").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("change"))
+
+
+@query("n8_salted_hash", "SELECT c_custkey, sha256(c_name || 'pepper') AS hashed FROM customer")
+def n8(s, d):
+    return load(s, d, "customer").select("c_custkey", F.sha2(F.concat("c_name", F.lit("pepper")), 256).alias("hashed"))

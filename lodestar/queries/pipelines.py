@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpoint_dir
 from ..fixtures import load
 from ..operators import pipelines as P
 from ..operators import relational as R
 from ..registry import query
+from ..sources.files import write_table
 
 c = F.col
 r2, r4, r6 = (lambda x: F.round(x, 2)), (lambda x: F.round(x, 4)), (lambda x: F.round(x, 6))
@@ -201,3 +205,34 @@ def c15(s, d):
 def c16(s, d):
     g = load(s, d, "orders").groupBy("o_custkey")
     return g.agg(F.array_sort(F.collect_set("o_orderpriority")).alias("kinds"), F.expr("(count(*) - 1) div 3 + 1").alias("chunks"), r4(F.median("o_totalprice")).alias("med"))
+
+
+def written(s, df, form, **settings):
+    """`df` written to the shared folder in a declared mode and read again."""
+    at = f"{checkpoint_dir(s)}/files-{uuid.uuid4().hex}"
+    write_table(df, at, form, **settings)
+    return s.read.schema(df.schema).format(form).load(at)
+
+
+@query("a1_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def a1(s, d):
+    return written(s, load(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "csv")
+
+
+@query("a3_parquet", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def a3(s, d):
+    o = written(s, load(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "parquet", by=("o_orderstatus",))
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), r2(F.sum("o_totalprice")).alias("total"))
+
+
+@query("a10_sink_options", "SELECT p_partkey, p_name FROM part")
+def a10(s, d):
+    return written(s, load(s, d, "part").select("p_partkey", "p_name"), "json", mode="Overwrite", compression="gzip")
+
+
+@query("b40_stage_metrics", "SELECT 'step 0 filter' AS step, count(*) AS rows FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT 'step 1 map', count(*) FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT 'step 2 group', count(DISTINCT l_linestatus) FROM lineitem WHERE l_quantity > 10")
+def b40(s, d):
+    out, seen = P.run_steps(load(s, d, SPEC["source"]), {**SPEC, "steps": SPEC["steps"][:3]}, observe=True)
+    out.write.format("noop").mode("overwrite").save()
+    names = [f"step {k} {x['kind']}" for k, x in enumerate(SPEC["steps"][:3])]
+    return s.createDataFrame([(n, o.get["rows"]) for n, o in zip(names, seen)], "step string, rows long")
