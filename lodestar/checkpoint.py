@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; an error where none is set, as a machine's own folder would not do."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary folder on a single machine (master local or local[n], as in tests), and an error on a
+    cluster, where a machine's own folder would not do.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return path
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
