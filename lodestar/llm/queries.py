@@ -7,6 +7,7 @@ from .decontaminate import op5_decontaminate
 from .langid import op6_langid
 from .licenses import op3_licenses
 from .passages import op10_passages
+from .periods import op13_periods
 from .sharding import op8_sharding
 from .simhash import op2_simhash
 from .suffix import op1_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op10_passages": op10_passages,
+    "op13_periods": op13_periods,
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,

@@ -30,13 +30,14 @@ def _power(n: int) -> list[np.ndarray]:
 
 
 class Words:
-    """The words (runs of bytes other than white space) of `texts`, ASCII capitals taken as small letters.
+    """The words (runs of bytes other than white space) of `texts`; with `fold`, ASCII capitals are taken as small letters.
 
     hash[i] is word i's 64-bit hash, start[i] and end[i] its place in the joined texts; text k begins at byte edge[k] and has the words
     word_edge[k]..word_edge[k+1].
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], fold: bool = True):
+        letters = LOWER if fold else np.arange(256, dtype=np.uint8)
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         self.edge = np.r_[0, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)]
         solid = ~SPACE[data]
@@ -48,7 +49,7 @@ class Words:
             if b > a:
                 low, high = int(self.start[a]), int(self.end[b - 1])
                 power, inverse = _power(high - low)
-                total = np.r_[np.uint64(0), np.cumsum((LOWER[data[low:high]].astype(np.uint64) + np.uint64(1)) * power[: high - low])]
+                total = np.r_[np.uint64(0), np.cumsum((letters[data[low:high]].astype(np.uint64) + np.uint64(1)) * power[: high - low])]
                 self.hash[a:b] = mix((total[self.end[a:b] - low] - total[self.start[a:b] - low]) * inverse[self.start[a:b] - low])
         self.word_edge = np.searchsorted(self.start, self.edge)
 
