@@ -13,11 +13,13 @@ from .simhash import op2_simhash
 from .suffix import op1_suffix_dedup
 from .topk import op7_topk
 from .toxicity import op9_toxicity
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op10_passages": op10_passages,
+    "op12_whitening": op12_whitening,
     "op13_periods": op13_periods,
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
