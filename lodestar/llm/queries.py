@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .decontaminate import op5_decontaminate
 from .langid import op6_langid
 from .licenses import op3_licenses
+from .minhash import op11_minhash
 from .passages import op10_passages
 from .periods import op13_periods
 from .sharding import op8_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op10_passages": op10_passages,
+    "op11_minhash": op11_minhash,
     "op12_whitening": op12_whitening,
     "op13_periods": op13_periods,
     "op3_licenses": op3_licenses,
