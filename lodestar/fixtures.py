@@ -23,6 +23,7 @@ VIEWS = {
     "fx_usage": "SELECT o.o_custkey AS tenant, l.l_returnflag AS component, l.l_quantity AS quantity, l.l_shipdate AS ts, l.l_orderkey*8+l.l_linenumber AS rec_id, l.l_orderkey*8+l.l_linenumber%5 AS idem_key FROM lineitem l JOIN orders o ON o.o_orderkey=l.l_orderkey",
     "fx_rects": "SELECT s_suppkey AS id, s_nationkey AS grp, CAST((s_suppkey*3571)%33000 AS DOUBLE)/100.0-180.0 AS minx, CAST((s_suppkey*1299)%14000 AS DOUBLE)/100.0-85.0 AS miny, CAST((s_suppkey*3571)%33000 AS DOUBLE)/100.0-180.0+4+s_suppkey%23 AS maxx, CAST((s_suppkey*1299)%14000 AS DOUBLE)/100.0-85.0+3+s_suppkey%17 AS maxy FROM supplier",
     "fx_quads": "SELECT c_custkey AS id, c_nationkey AS grp, lon AS x1, lat AS y1, lon+2+c_custkey%5 AS x2, lat+CAST(c_custkey%3 AS DOUBLE)/4 AS y2, lon+1.5+c_custkey%4 AS x3, lat+2+c_custkey%6 AS y3, lon-CAST(c_custkey%7 AS DOUBLE)/8 AS x4, lat+1.25+c_custkey%3 AS y4 FROM (SELECT c_custkey, c_nationkey, CAST((c_custkey*7919)%36000 AS DOUBLE)/100.0-180.0 AS lon, CAST((c_custkey*104729)%16000 AS DOUBLE)/100.0-85.0 AS lat FROM customer) q",
+    "fx_lots": "SELECT s_suppkey AS id, s_nationkey AS grp, CAST((s_suppkey*3571)%300 AS DOUBLE) AS minx, CAST((s_suppkey*1299)%140 AS DOUBLE) AS miny, CAST((s_suppkey*3571)%300+2+s_suppkey%9 AS DOUBLE) AS maxx, CAST((s_suppkey*1299)%140+2+s_suppkey%7 AS DOUBLE) AS maxy FROM supplier",
     "fx_tree": "SELECT CAST(FLOOR((s_suppkey-1)/2.0) AS BIGINT) AS src, s_suppkey AS dst FROM supplier WHERE s_suppkey > 0",
     "fx_roads": "SELECT s_suppkey AS src, CAST(FLOOR(s_suppkey/2.0) AS BIGINT) AS dst, CAST(1+(s_suppkey*7)%13 AS DOUBLE) AS cost, s_suppkey%3 AS class FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT CAST(FLOOR(s_suppkey/2.0) AS BIGINT), s_suppkey, CAST(1+(s_suppkey*5)%11 AS DOUBLE), s_suppkey%3 FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey-1, s_suppkey, CAST(2+(s_suppkey*11)%17 AS DOUBLE), s_suppkey%4 FROM supplier WHERE s_suppkey > 0",
     "fx_snap_a": "SELECT o_orderkey AS k, o_totalprice AS v, o_orderstatus AS s FROM orders WHERE o_orderkey%10<>1",

@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from .queries import billing, business, events, geo, governance, learning, networks, pipelines, rasters, relational, search, spatial, streams, text_ml  # noqa: E402,F401
+from .queries import billing, business, events, geo, governance, learning, networks, overlays, pipelines, rasters, relational, search, spatial, streams, text_ml  # noqa: E402,F401
