@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, give_back, local_roots, partitions, slices, table, utf8
+from .common import checkpoint_dir, connected_components, durable, give_back, local_roots, partitions, slices, table, utf8
 from .words import Words, mix
 
 FREE = np.uint64(2**64 - 1)
@@ -92,40 +94,41 @@ def with_sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFra
     return docs.mapInArrow(run, FOUND)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles as sorted 64-bit hashes) of the documents whose doc_id is in `wanted` (rep)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 24) -> DataFrame:
+    """(rep, shingles as sorted 64-bit hashes) of the documents whose doc_id is in `wanted` (rep), a table in the shared folder that is dealt by rep.
+
+    Texts do not move: a bitmap of `bits` hashed ids, whatever the number of documents, leaves out most others where they are read, and
+    an equi join the rest.
+    """
+    spark = docs.sparkSession
+    place = lambda col: F.pmod(F.xxhash64(col), F.lit(bits).cast("long"))
+    spot = wanted.select(place("rep").alias("p"))
+    words = spot.groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 AS INT))")).alias("b")).collect()
+    bitmap = np.zeros(bits // 32, np.uint32)
+    bitmap[[r.w for r in words]] = [r.b for r in words]
+    sent = spark.sparkContext.broadcast(bitmap.tobytes())
+
     def run(batches):
+        known = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little")
         for batch in slices(batches):
-            h, edges = shingle_sets([utf8(t) for t in batch.column(1).to_pylist()], width)
-            data = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())], names=["rep", "shingles"])
+            batch = batch.filter(pa.array(known[batch.column(2).to_numpy()].astype(bool)))
+            if batch.num_rows:
+                h, edges = shingle_sets([utf8(t) for t in batch.column(1).to_pylist()], width)
+                data = h.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())], names=["rep", "shingles"])
         give_back()
 
-    picked = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return picked.select("doc_id", "text").mapInArrow(run, "rep long, shingles binary")
+    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(run, "rep long, shingles binary")
+    name = f"minhash_{uuid.uuid4().hex}"
+    exact = found.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "shingles"])
+    exact.write.bucketBy(partitions(spark), "rep").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def similar(both, n_a, n_b, percent: int):
     return 100 * both >= percent * (n_a + n_b - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose full sets have a Jaccard similarity of `percent` or more."""
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                a, b = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.searchsorted(b, a) if len(b) else np.zeros(0, np.int64)
-                both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-                keep.append(len(a) > 0 and similar(both, len(a), len(b), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(run, LINKS)
-
-
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], most: int = 8192) -> np.ndarray:
     """Sizes of the intersections of every set of `a` with every set of `b`: tiles of incidence matrices, `most` shingles wide."""
     ha, hb = np.concatenate(a), np.concatenate(b)
@@ -152,18 +155,18 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], most: int = 8192) ->
 
 
 def _compare(percent: int):
-    """Groups of a block of homes and a block of askers, sorted by group, to stars of the links between them."""
+    """Groups of homes and askers, sorted by group, to stars of the links between them; a row may be both."""
     def links(rows: list[dict]):
-        homes, asking = ([r for r in rows if r["asks"] == asks] for asks in (False, True))
-        if not homes or not asking:
+        sides = [[r for r in rows if r[kind]] for kind in ("asks", "hosts")]
+        if not all(sides):
             return None
-        a, b = ([np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (asking, homes))
-        na, nb = (np.array([len(s) for s in side])[:, None] for side in (a, b))
-        label, rep = (tuple(np.array([r[c] for r in side])[:, None] for side in (asking, homes)) for c in ("label", "rep"))
-        outside = np.array([r["outside"] for r in homes])
-        apart = (label[0] != label[1].T) & ~(outside[None, :] & (rep[0] < rep[1].T))
+        label, rep = (tuple(np.array([r[c] for r in side])[:, None] for side in sides) for c in ("label", "rep"))
+        # of two that both ask each other one comparison will do
+        apart = (label[0] != label[1].T) & ~(np.array([r["outside"] for r in sides[1]])[None, :] & (rep[0] < rep[1].T))
         if not apart.any():
             return None
+        a, b = ([np.frombuffer(r["shingles"], np.uint64) for r in side] for side in sides)
+        na, nb = (np.array([len(s) for s in side])[:, None] for side in (a, b))
         x, y = np.nonzero(apart & similar(common_counts(a, b), na, nb.T, percent))
         return (rep[0][x, 0], rep[1][y, 0]) if len(x) else None
 
@@ -189,7 +192,23 @@ def _compare(percent: int):
     return run
 
 
-def remaining_links(mixed: DataFrame, sets: DataFrame, percent: int, block: int = 256, most: int = 1 << 20) -> DataFrame:
+def _compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within groups (key, home, asker) of rows (rep, label, outside, asks, hosts)."""
+    dealt = groups.join(sets, "rep").repartition(partitions(groups.sparkSession), "key", "home", "asker").sortWithinPartitions("key", "home", "asker")
+    return dealt.select("key", "home", "asker", "rep", "label", "outside", "asks", "hosts", "shingles").mapInArrow(_compare(percent), LINKS)
+
+
+def first_links(mixed: DataFrame, sets: DataFrame, percent: int, turn: int, block: int) -> DataFrame:
+    """Links found where every member (key, rep, n, label) goes to one block of about `block` members of its largest bucket, with all pairs of a block compared."""
+    sized = mixed.groupBy("key").agg(F.count("*").alias("m"))
+    choice = mixed.join(sized, "key").groupBy("rep").agg(F.max(F.struct("m", "key")).alias("to"), F.min("label").alias("label"))
+    put = choice.select(F.col("to.key").alias("key"), F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("to.m") / block)).cast("int").alias("home"), "rep", "label")
+    several = put.groupBy("key", "home").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "home")
+    yes = F.lit(True)
+    return _compared(put.join(several, ["key", "home"]).select("key", "home", F.lit(0).alias("asker"), "rep", "label", yes.alias("outside"), yes.alias("asks"), yes.alias("hosts")), sets, percent)
+
+
+def remaining_links(mixed: DataFrame, sets: DataFrame, percent: int, block: int, most: int = 1 << 21) -> DataFrame:
     """Links between members (key, rep, n, label) of one bucket that carry different labels: all such pairs are compared, in blocks.
 
     The most frequent label of a bucket is its hub; members outside it are the ones that ask. Homes and askers of a bucket are cut into blocks of about
@@ -200,23 +219,25 @@ def remaining_links(mixed: DataFrame, sets: DataFrame, percent: int, block: int
     hub = hub.where("labels > 1").dropDuplicates(["m", "w", "sign"])
     cuts = lambda m, w: F.ceil(F.greatest(m / block, w / most)).cast("int")
     sized = hub.select("key", F.col("hub.label").alias("hub"), cuts(F.col("m"), F.col("w")).alias("homes"), cuts(F.col("m") - F.col("hub.m"), F.col("w") - F.col("hub.w")).alias("askers"))
-    each = mixed.join(sized, "key").withColumn("outside", F.col("label") != F.col("hub"))
-    here = each.withColumn("home", F.pmod(F.xxhash64("rep"), "homes").cast("int")).withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
-    ask = each.where("outside").withColumn("asker", F.pmod(F.xxhash64("rep", F.lit(1)), "askers").cast("int")).withColumn("home", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
-    pick = lambda df, asks: df.select("key", "home", "asker", "rep", "label", "outside", F.lit(asks).alias("asks"))
-    groups = pick(here, False).unionByName(pick(ask, True)).join(sets, "rep")
-    dealt = groups.repartition(4 * partitions(mixed.sparkSession), "key", "home", "asker").sortWithinPartitions("key", "home", "asker")
-    return dealt.select("key", "home", "asker", "rep", "label", "outside", "asks", "shingles").mapInArrow(_compare(percent), LINKS)
+    each = mixed.join(sized, "key").withColumn("outside", F.col("label") != F.col("hub")).withColumn("h", F.pmod(F.xxhash64("rep"), "homes").cast("int")).withColumn("a", F.pmod(F.xxhash64("rep", F.lit(1)), "askers").cast("int"))
+    # a group of one block of each takes a row once, as both
+    spot = lambda home, asker, asks, hosts: F.struct(home.cast("int").alias("home"), asker.cast("int").alias("asker"), asks.alias("asks"), hosts.alias("hosts"))
+    no, yes, h, a = F.lit(False), F.lit(True), F.col("h"), F.col("a")
+    hosting = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda k: spot(h, k, F.col("outside") & (k == a), yes))
+    asking = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda k: spot(k, a, yes, no))
+    spots = F.when(F.col("outside"), F.concat(hosting, F.filter(asking, lambda g: g["home"] != h))).otherwise(hosting)
+    return _compared(each.withColumn("g", F.explode(spots)).select("key", "g.home", "g.asker", "rep", "label", "outside", "g.asks", "g.hosts"), sets, percent)
 
 
-def minhash_components(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
+def minhash_components(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS, rounds: int = 3, block: int = 1024) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if their sets of `width`-word shingles have a Jaccard similarity of `percent` hundredths or more; component_id is the smallest
     doc_id reachable, itself included, and kept says whether it is the row's own. Equal sets are one node, so copies cost nothing. Nodes that share a band are
-    candidates: in each of `rounds` every node of a bucket of several components is held against one member of another component, so a
-    tight group of any size becomes one component in few comparisons for each member; then all pairs of different components that share a bucket
-    are compared in blocks, so that no candidate is left out. A pair at the threshold shares no bucket with a probability of 7e-9.
+    candidates. In a round every node of a bucket of several components goes to one block of its largest bucket, where all pairs are compared, so a
+    tight group of any size becomes one component while each member moves once a round; the first round takes all buckets, later ones those of more
+    than a block's size. Then all pairs of different components that share a bucket are compared in blocks of about `block` members, so that no candidate is left out. A pair at the threshold
+    0.85 shares no bucket with a probability of 7e-9, at 0.8 of 2e-6.
 
     A text with fewer words is one shingle; without words (null, empty, white space) it has an empty set and is linked with nothing. A row with null
     doc_id joins the component of the rows with its set; if there are none, component_id is null and the row is kept. Repeated rows repeat in the result; an
@@ -224,32 +245,36 @@ def minhash_components(docs: DataFrame, percent: int = 80, width: int = 5, bands
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = durable(with_sketches(docs, width, bands, rows))
-    nodes = durable(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    each = nodes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    mixed = durable(each.join(shared, "key").withColumn("label", F.col("rep")))
-    sets = durable(sets_of(docs, mixed.select("rep").distinct(), width))
-    links = docs.sparkSession.createDataFrame([], LINKS)
+    some = found.where("n_shingles > 0")
+    nodes = some.where("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    each = nodes.select("rep", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").count().where("count > 1").select("key")
+    sizes = some.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"))
+    mixed = each.join(shared, "key")
+    mixed = durable(mixed.join(sizes, "rep").withColumn("label", F.col("rep")))
+    spark = docs.sparkSession
+    sets = sets_of(docs, mixed.select("rep").distinct(), width)
+    links, large = None, mixed
     for turn in range(rounds):
-        if mixed.isEmpty():
+        if large.isEmpty():
             break
-        order = F.struct("label", F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "n")
-        pivot = mixed.groupBy("key").agg(F.min(order).alias("pivot"), F.max("label").alias("hi")).where("pivot.label <> hi").select("key", "pivot")
-        asked = mixed.join(pivot, "key").where("label <> pivot.label AND 100 * least(n, pivot.n) >= " + str(percent) + " * greatest(n, pivot.n)")
-        pairs = asked.groupBy(F.col("rep").alias("src")).agg(F.min_by(F.col("pivot.rep"), F.xxhash64("pivot.rep", "rep", F.lit(turn))).alias("dst"))
-        links = durable(links.unionByName(verified(pairs, sets, percent)))
-        named = connected_components(links)
-        relabelled = mixed.drop("label").join(named.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        relabelled = durable(relabelled)
-        several = relabelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        mixed = durable(relabelled.join(several, "key"))
+        more = durable(first_links(large, sets, percent, turn, block))
+        links = more if links is None else links.unionByName(more)
+        named = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        now = mixed.drop("label").join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+        mixed = durable(now.join(several, "key"))
+        large = mixed.where(F.col("m") > block).drop("m")
+        mixed = mixed.drop("m")
     if not mixed.isEmpty():
-        links = links.unionByName(remaining_links(mixed, sets, percent))
-    named = connected_components(links)
-    labelled = nodes.select("h1", "h2", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    some = found.where("n_shingles > 0").join(labelled, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
+        more = durable(remaining_links(mixed, sets, percent, block))
+        links = more if links is None else links.unionByName(more)
+    named = connected_components(spark.createDataFrame([], LINKS) if links is None else links)
+    reps = some.where("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    labelled = reps.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    full = some.join(labelled, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
     none = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return full.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
