@@ -22,24 +22,27 @@ def _letters(text: str) -> bytes:
     return " ".join(LETTERS.findall(text.lower())).encode("utf-8", "replace")
 
 
-def learn(docs: DataFrame, dict_bytes: int = 256 * 1024, max_doc_bytes: int = 16 * 1024) -> dict[str, bytes]:
-    """language -> raw dictionary content of at most `dict_bytes` of text, from rows of `docs` (doc_id, text, lang).
+def learn(docs: DataFrame, dict_bytes: int = 256 * 1024, piece: int = 4096) -> dict[str, bytes]:
+    """language -> raw dictionary content of at most `dict_bytes` of text, from rows of `docs` (text, lang).
 
-    The sample is bounded: per language the documents with the smallest hashes whose texts fit together; documents above `max_doc_bytes`
-    are not sampled. Bytes are summed per language first, so that a draw in proportion, about four times what is
-    taken, is all that a language sends to its one task, however many rows it has. At most dict_bytes per language
-    reach the driver.
+    Texts of any length are cut into pieces of `piece` characters and the pieces are drawn, so that a language of long texts alone is learnt like any
+    other. The sample is bounded: per language the pieces with the smallest hashes that fit together. Bytes are summed per
+    language first, so that a draw in proportion, about four times what is taken, is all that a language sends to its one task, however
+    many rows it has; a piece that many rows hold is drawn once. At most dict_bytes per language reach the driver.
+
+    Rows with a null text or lang and empty texts teach nothing; doc_id plays no part, so null and repeated ids do not matter. Pieces of equal hash are
+    ordered by their text. Without any row to learn from the result is empty. Other columns are ignored.
     """
     size = F.octet_length("text")
-    fit = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(size.between(1, max_doc_bytes))
+    fit = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(size > 0)
     sums = fit.groupBy("lang").agg(F.sum(size).alias("bytes")).collect()
     if not sums:
         return {}
     share = docs.sparkSession.createDataFrame([(r.lang, 4.0 * dict_bytes / r.bytes) for r in sums], "lang string, share double")
     first = Window.partitionBy("lang").orderBy("draw", "text")
+    pieces = fit.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))).alias("text")).withColumn("draw", F.xxhash64("text", F.lit(6)))
     some = (
-        fit.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(6)).alias("draw"))
-        .join(F.broadcast(share), "lang").where(F.col("draw") / F.lit(2.0**64) + 0.5 < F.col("share"))
+        pieces.join(F.broadcast(share), "lang").where(F.col("draw") / F.lit(2.0**64) + 0.5 < F.col("share")).select("lang", "text", "draw").distinct()
         .withColumn("upto", F.sum(size).over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= dict_bytes)
     )
     texts: dict[str, list[bytes]] = {}

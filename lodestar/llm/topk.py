@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, table
 
-SCALE, TOP = 1024.0, np.iinfo(np.int64).max
+#: Products are clipped to TOP and -TOP; EMPTY is less than any of them and marks a place of a list that no candidate fills.
+SCALE, TOP, EMPTY = 1024.0, np.iinfo(np.int64).max, np.iinfo(np.int64).min
 TILE = "tile long, dim int, n int, ids binary, cells binary, kind string"
 LISTS = "block long, slot long, n int, queries binary, width int, ids binary, scores binary"
 
@@ -47,7 +48,7 @@ def _tiled(vectors: DataFrame, rows_per_tile: int) -> DataFrame:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]  # ~ falls like -, and has no overflow
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
@@ -69,12 +70,12 @@ def _search(k: int):
                 scores = _products(q, np.frombuffer(r["cells"], r["kind"]).reshape(r["n"], -1).astype(float))
                 own = ids[None, :] == qids[:, None]
                 width = min(k, len(ids))
-                top_ids, top = np.full((len(qids), width), TOP), np.full((len(qids), width), -TOP)
+                top_ids, top = np.full((len(qids), width), TOP), np.full((len(qids), width), EMPTY)
                 for i in range(len(qids)):
-                    row = np.where(own[i], -TOP, scores[i])
+                    row = np.where(own[i], EMPTY, scores[i])
                     least = np.partition(row, len(row) - width)[len(row) - width]
                     found = np.flatnonzero((row >= least) & ~own[i])
-                    found = found[np.lexsort((ids[found], -row[found]))[:width]]
+                    found = found[np.lexsort((ids[found], ~row[found]))[:width]]
                     top_ids[i, : len(found)], top[i, : len(found)] = ids[found], row[found]
                 yield pa.RecordBatch.from_pylist([{"block": r["block"], "slot": r["slot"], "n": len(qids), "queries": r["q_ids"], "width": width, "ids": top_ids.tobytes(), "scores": top.tobytes()}], schema=OUT)
 
@@ -126,7 +127,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: i
             for r in batch.to_pylist():
                 q, ids, scores = (np.frombuffer(r[c], np.int64) for c in ("queries", "ids", "scores"))
                 width = r["width"]
-                full = scores > -TOP
+                full = scores != EMPTY
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, width)[full]), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(q))[full]), pa.array(ids[full]), pa.array(scores[full])], names=["query_id", "rank", "vec_id", "score"])
 
     return lists.mapInArrow(rows, "query_id long, rank int, vec_id long, score long")

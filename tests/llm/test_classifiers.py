@@ -30,6 +30,42 @@ def test_language_held_out_accuracy(spark, odd_docs, no_docs):
     assert langid.learn(no_docs) == {} and {r.lang_pred for r in langid.identify(odd_docs, {}).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_and_rows_without_ids_are_learnt(spark):
+    rnd = random.Random(5)
+    rows = [(None, " ".join(t for _, t, lang2 in corpus(rnd, 300) if lang2 == lang) * (3 if lang == "aa" else 1), lang) for lang in ("aa", "bb") for _ in range(3)]
+    assert all(len(t) > 30_000 for _, t, lang in rows if lang == "aa")
+    rows += [(None, "que eau les oi", "cc")] * 4000
+    found = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert set(found) == {"aa", "bb", "cc"} and found["cc"].split() == b"que eau les oi".split()
+
+
+def plain_language(text, dictionaries):
+    """Re-scoring by a plain loop: every block of 4 KB packed with every dictionary."""
+    import re
+
+    import zstandard
+
+    data = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())).encode()
+    if not data:
+        return "und"
+    best = {}
+    for lang, content in dictionaries.items():
+        packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        best[lang] = sum(len(packer.compress(data[at : at + 4096])) for at in range(0, len(data), 4096))
+    return min(sorted(best), key=best.get)
+
+
+def test_language_against_a_plain_loop(spark, odd_docs):
+    rows = corpus(random.Random(3), 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.learn(docs)
+    both = docs.select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    from collections import Counter
+
+    want = Counter((r.doc_id, plain_language(r.text, found)) for r in both.collect())
+    assert Counter((r.doc_id, r.lang_pred) for r in langid.identify(both, found).collect()) == want
+
+
 def test_toxicity_held_out_accuracy(spark, odd_docs, no_docs):
     rnd = random.Random(2)
     rows, labels = [], []

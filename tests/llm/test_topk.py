@@ -33,4 +33,4 @@ def test_repeated_queries_and_numbers_too_large_to_scale(spark):
     rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1e307, 1.0]), (3, [-1e307, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in top_k(df.where("vec_id = 0"), df.repartition(3)).orderBy("rank").collect()]
-    assert got == [(0, 1, 2, 2**63 - 1), (0, 2, 1, 1024 * 1024), (0, 3, 3, -(2**63 - 1))] or [g[2] for g in got[:2]] == [2, 1]
+    assert got == [(0, 1, 2, 2**63 - 1), (0, 2, 1, 1024 * 1024), (0, 3, 3, -(2**63 - 1))]
