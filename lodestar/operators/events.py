@@ -62,17 +62,27 @@ def rolled_up(df: DataFrame, rules: list[tuple[str, str, str, str]], name: str =
 
 
 def token_bucket(df: DataFrame, key: str, ts: str, capacity: float, per_second: float) -> DataFrame:
-    """Each row with `allowed`: whether the key's bucket, filled at `per_second` up to `capacity`, still had a token for it.
+    """Each row (event_id, key, ts) with `allowed`: whether the key's bucket, filled at `per_second` up to `capacity` over its whole history, still had a token for it.
 
-    A fold in the order of time, as an aggregate over the sorted rows of a key and day; every key begins a day with a full bucket, so a hot key is cut.
+    Rows are dealt by key and sorted by time and event_id, and one pass folds them with a level per key, so a history of any length needs no memory. Rows
+    without a key share a bucket; rows without a time come first and fill nothing.
     """
-    day = F.to_date(ts)
-    rows = df.groupBy(key, day.alias("day")).agg(F.array_sort(F.collect_list(F.struct(micros(ts).alias("t"), F.col("event_id").alias("id")))).alias("rows"))
-    start = F.struct(F.lit(float(capacity)).alias("left"), F.get("rows", F.lit(0))["t"].alias("t"), F.expr("CAST(array() AS array<struct<id:bigint,allowed:boolean>>)").alias("out"))
-
-    def step(s, r):
-        full = F.least(F.lit(float(capacity)), s["left"] + (r["t"] - s["t"]) / 1e6 * per_second)
-        ok = full >= 1
-        return F.struct(F.when(ok, full - 1).otherwise(full).alias("left"), r["t"].alias("t"), F.concat(s["out"], F.array(F.struct(r["id"].alias("id"), ok.alias("allowed")))).alias("out"))
-
-    return rows.select(F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
+    def run(batches):
+        import pyarrow as pa
+
+        who, level, last, begun = None, 0.0, None, False
+        for batch in batches:
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = []
+            for k, t in zip(keys, times):
+                if not begun or k != who:
+                    who, level, last, begun = k, float(capacity), t, True
+                elif t is not None:
+                    level = min(float(capacity), level + (t - (last if last is not None else t)) / 1e6 * per_second)
+                    last = t
+                out.append(level >= 1)
+                level -= level >= 1
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.bool_())], names=["id", "allowed"])
+
+    rows = df.select(F.col(key).alias("k"), micros(ts).alias("t"), F.col("event_id").cast("long").alias("id"))
+    return rows.repartition("k").sortWithinPartitions("k", "t", "id").mapInArrow(run, "id long, allowed boolean")

@@ -113,22 +113,32 @@ def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(key, F.when(F.col("a").isNull(), "Added").when(F.col("b").isNull(), "Deleted").otherwise("Modified").alias("change"))
 
 
-def equi_depth(df: DataFrame, column: str, tie: str, buckets: int) -> DataFrame:
-    """(bucket 1.., n, least, most) of buckets with equal counts, the first ones one larger.
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """`df` with `place`, 1 for the first row of the whole order, and so on; `order` should leave no ties.
 
     Rows are sorted into ranges by Spark's sampled range partitioning; counts per range give each row its place, so no task sees them all.
     """
     from ..checkpoint import durable
 
-    rows = durable(df.where(F.col(column).isNotNull()).select(column, tie).repartitionByRange(column, tie).withColumn("_p", F.spark_partition_id()))
-    sizes = sorted((r["_p"], r["count"]) for r in rows.groupBy("_p").count().collect())
-    before, n = {}, 0
-    for p, size in sizes:
-        before[p], n = n, n + size
+    rows = durable(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before, n = [], 0
+    for p, size in sorted((r["_p"], r["count"]) for r in rows.groupBy("_p").count().collect()):  # a row per range
+        before.append((p, n))
+        n += size
+    if not before:
+        return rows.withColumn("place", F.lit(0).cast("long")).drop("_p")
+    start = df.sparkSession.createDataFrame(before, "_p int, _start long")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(start), "_p").withColumn("place", F.col("_start") + F.col("_n")).drop("_p", "_n", "_start")
+
+
+def equi_depth(df: DataFrame, column: str, tie: str, buckets: int) -> DataFrame:
+    """(bucket 1.., n, least, most) of buckets with equal counts, the first ones one larger."""
+    from ..checkpoint import durable
+
+    rows = durable(placed(df.where(F.col(column).isNotNull()).select(column, tie), [F.col(column).asc(), F.col(tie).asc()]))
+    n, place = rows.count(), F.col("place") - 1
     if not n:
         return rows.select(F.lit(1).alias("bucket"), F.lit(0).cast("long").alias("n"), F.col(column).alias("least"), F.col(column).alias("most")).limit(0)
-    start = F.element_at(F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)]), F.col("_p"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(column, tie)) - 1 + start
     small, extra = divmod(n, buckets)
     wide = extra * (small + 1)
     bucket = F.when(place < wide, F.floor(place / (small + 1))).otherwise(extra + F.floor((place - wide) / max(1, small)))

@@ -33,18 +33,20 @@ def edge_grams(term: Column, least: int, most: int) -> Column:
 
 
 def counted(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, dl, tf_0, tf_1 ...): length and counts of a few terms per document, in one pass without exploding its words."""
-    w = docs.select(F.col(key), words(text).alias("w"))
-    return w.select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    """(key, dl, tf_0, tf_1 ...): length and counts of a few terms per document, in one pass over its text that builds no words."""
+    low = docs.select(F.col(key), F.lower(text).alias("t"))
+    alone = lambda t: rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E(?![\p{{L}}\p{{N}}])"
+    return low.select(key, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *[F.regexp_count("t", F.lit(alone(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
 
 
-def _is(term: str):
-    return lambda x: x == term
+def bm25(docs: DataFrame, key: str, text: str, terms: list[str], every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the documents that hold any, or every, of the terms; only documents with words count for the mean length.
 
+    Texts are read once: a few numbers a document are kept, and both the statistics and the scores come from them.
+    """
+    from ..checkpoint import durable
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents that hold any, or every, of the terms; only documents with words count for the mean length."""
-    t = counted(docs, key, text, terms).where("dl > 0")
+    t = durable(counted(docs, key, text, terms).where("dl > 0"))
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("av"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     n, av = stats["n"], stats["av"] or 1.0
     tf = [F.col(f"tf_{i}") for i in range(len(terms))]

@@ -308,7 +308,10 @@ def m19(s, d):
     return e.select("event_id", (F.count("*").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-2 * DAY * 10**6 + 1, 0)) <= 2).alias("allowed"))
 
 
-@query("m20_token_bucket")
+@query("m20_token_bucket", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  b(user_id, n, event_id, t, allowed, rest) AS (SELECT user_id, n, event_id, t, true, 1.0::DOUBLE FROM e WHERE n = 1
+    UNION ALL SELECT user_id, n, event_id, t, lvl >= 1, CASE WHEN lvl >= 1 THEN lvl-1 ELSE lvl END FROM (SELECT e.*, least(2.0::DOUBLE, b.rest+(e.t-b.t)/1e6::DOUBLE*(1.0::DOUBLE/14400)) AS lvl FROM b JOIN e ON e.user_id=b.user_id AND e.n=b.n+1))
+  SELECT event_id AS id, allowed FROM b""")
 def m20(s, d):
     return E.token_bucket(load(s, d, "events"), "user_id", "ts", 2, 1 / 14400)
 

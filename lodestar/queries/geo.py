@@ -121,10 +121,10 @@ def d13(s, d):
     return quads(s, d).select("id", hull("ring").alias("ring")).select("id", Y.area(c("ring")).alias("area"), F.size("ring").alias("n"))
 
 
-@query("d14_shapes", "SELECT id, round(0.5*6*4*sin(2*pi()/6), 6) AS hexagon, round(5*2*1*sin(pi()/5), 6) AS star, round(0.5*16*3*2*sin(2*pi()/16), 6) AS ellipse FROM fx_sites")
+@query("d14_shapes", "SELECT id, round(0.5*6*pow(1+id%5,2)*sin(2*pi()/6), 6) AS hexagon, round(5*(2+id%3)*(1+id%2)*sin(pi()/5), 6) AS star, round(0.5*16*(1+id%4)*(2+id%7)*sin(2*pi()/16), 6) AS ellipse FROM fx_sites")
 def d14(s, d):
     x, y = c("lon"), c("lat")
-    return load(s, d, "fx_sites").select("id", r6(Y.area(Y.regular(x, y, F.lit(2.0), 6))).alias("hexagon"), r6(Y.area(Y.regular(x, y, F.lit(2.0), 5, F.lit(1.0)))).alias("star"), r6(Y.area(Y.ellipse(x, y, F.lit(3.0), F.lit(2.0), 16))).alias("ellipse"))
+    return load(s, d, "fx_sites").select("id", r6(Y.area(Y.regular(x, y, 1.0 + c("id") % 5, 6))).alias("hexagon"), r6(Y.area(Y.regular(x, y, 2.0 + c("id") % 3, 5, 1.0 + c("id") % 2))).alias("star"), r6(Y.area(Y.ellipse(x, y, 1.0 + c("id") % 4, 2.0 + c("id") % 7, 16))).alias("ellipse"))
 
 
 @query("d15_buffer_vertices", "SELECT id, k, round(lon+2*cos(2*pi()*k/8), 6) AS x, round(lat+2*sin(2*pi()*k/8), 6) AS y FROM fx_sites, (SELECT unnest(range(8))::INT AS k)")
@@ -353,11 +353,11 @@ def e22(s, d):
     return load(s, d, "fx_points").groupBy("grp").agg(F.count("*").alias("n"), F.min("lon").alias("minx"), F.min("lat").alias("miny"), F.max("lon").alias("maxx"), F.max("lat").alias("maxy"), r6(F.avg("lon")).alias("cx"), r6(F.avg("lat")).alias("cy"))
 
 
-@query("e25_nn_index", "SELECT count(*) AS n, round(avg(dist), 6) AS observed, round(avg(dist)*2*sqrt(count(*)/(360.0*170)), 6) AS index FROM (SELECT id, min(dist) AS dist FROM (SELECT p.id, sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) AS dist FROM fx_points p JOIN fx_points q ON p.id<>q.id) WHERE dist > 0 GROUP BY 1)")
+@query("e25_nn_index", "SELECT count(*) AS n, round(avg(dist), 6) AS observed, round(avg(dist)*2*sqrt(count(*)/(360.0*170)), 6) AS index FROM (SELECT id, min(dist) AS dist FROM (SELECT p.id, sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) AS dist FROM fx_points p JOIN fx_points q ON p.id<>q.id) GROUP BY 1)")
 def e25(s, d):
     b = points(s, d).select(c("id").alias("id2"), c("lon").alias("lon2"), c("lat").alias("lat2"))
-    # equal places are one: two nearest, the other one is taken
-    near = S.nearest(points(s, d), b, 3, 8.0).where("id <> id2 AND distance > 0").groupBy("id").agg(F.min("distance").alias("x"))
+    # of the two nearest at most one is the point itself
+    near = S.nearest(points(s, d), b, 2, 8.0).where("id <> id2").groupBy("id").agg(F.min("distance").alias("x"))
     return near.agg(F.count("*").alias("n"), r6(F.avg("x")).alias("observed"), r6(F.avg("x") * 2 * F.sqrt(F.count("*") / (360.0 * 170))).alias("index"))
 
 

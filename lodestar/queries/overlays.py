@@ -16,7 +16,6 @@ SIZE, BAND = 12.0, 4.0
 MEET = "a.minx<=b.maxx AND b.minx<=a.maxx AND a.miny<=b.maxy AND b.miny<=a.maxy"
 W, H = "greatest(0, least(a.maxx,b.maxx)-greatest(a.minx,b.minx))", "greatest(0, least(a.maxy,b.maxy)-greatest(a.miny,b.miny))"
 AREA = "(({0}.maxx-{0}.minx)*({0}.maxy-{0}.miny))"
-NONE = F.lit(None).cast(f"array<{Y.RING}>")
 #: Unit cells of boxes and, of a set of cells (grp, x, y), area and length of the border.
 CELLS = "SELECT DISTINCT grp, x, y FROM {boxes} q, range(-5, 420) a(x), range(-5, 180) b(y) WHERE x >= minx AND x < maxx AND y >= miny AND y < maxy"
 BORDER = "SELECT k.grp, count(*) FILTER (WHERE dx=0 AND dy=0) AS area, count(*) FILTER (WHERE (dx<>0 OR dy<>0) AND n.grp IS NULL) AS border FROM cells k CROSS JOIN (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) s(dx,dy) LEFT JOIN cells n ON n.grp=k.grp AND n.x=k.x+dx AND n.y=k.y+dy GROUP BY 1"
@@ -24,7 +23,7 @@ BORDER = "SELECT k.grp, count(*) FILTER (WHERE dx=0 AND dy=0) AS area, count(*)
 
 def lots(s, d):
     """Boxes with whole-number corners, many of which touch."""
-    return load(s, d, "fx_lots").withColumn("shell", Y.box_ring(c("minx"), c("miny"), c("maxx"), c("maxy"))).withColumn("holes", NONE)
+    return load(s, d, "fx_lots").withColumn("shell", Y.box_ring(c("minx"), c("miny"), c("maxx"), c("maxy"))).withColumn("holes", F.lit(None).cast(f"array<{Y.RING}>"))
 
 
 def lot_edges(s, d, where="true"):

@@ -29,12 +29,14 @@ def a15(s, d):
     return p.select("id", path(c("y")).alias("zxy"), path(127 - c("y")).alias("tms"))
 
 
-@query("a16_bulk_index", "SELECT doc_id, lang, 'indexed' AS state FROM documents WHERE doc_id%10<>3 UNION ALL SELECT doc_id, lang, 'failed' FROM documents WHERE doc_id%10=3")
+@query("a16_bulk_index", """SELECT b.k, b.op, CASE WHEN b.op='create' AND a.k IS NOT NULL THEN 'exists' WHEN b.op='update' AND a.k IS NULL THEN 'missing' ELSE 'indexed' END AS state, CASE WHEN b.op='create' AND a.k IS NOT NULL THEN a.v WHEN b.op='update' AND a.k IS NULL THEN NULL ELSE b.v END AS v
+  FROM (SELECT *, CASE WHEN k%3=0 THEN 'create' WHEN k%3=1 THEN 'update' ELSE 'index' END AS op FROM fx_snap_b) b LEFT JOIN fx_snap_a a ON a.k=b.k""")
 def a16(s, d):
-    docs = load(s, d, "documents").select("doc_id", "lang").withColumn("op", F.when(c("doc_id") % 10 == 3, "create").otherwise("update"))
-    have = docs.select("doc_id", F.lit(True).alias("there"))
-    # creating what is there already fails; updates pass
-    return docs.join(have, "doc_id", "left").select("doc_id", "lang", F.when((c("op") == "create") & c("there"), "failed").otherwise("indexed").alias("state"))
+    """A batch of creates, updates and upserts against an index: what each does, and what the index then holds under its key."""
+    there = load(s, d, "fx_snap_a").select("k", c("v").alias("old"), F.lit(True).alias("there"))
+    batch = load(s, d, "fx_snap_b").withColumn("op", F.when(c("k") % 3 == 0, "create").when(c("k") % 3 == 1, "update").otherwise("index")).join(there, "k", "left")
+    state = F.when((c("op") == "create") & c("there"), "exists").when((c("op") == "update") & c("there").isNull(), "missing").otherwise("indexed")
+    return batch.withColumn("state", state).select("k", "op", "state", F.when(c("state") == "exists", c("old")).when(c("state") == "indexed", c("v")).alias("v"))
 
 
 @query("b1_scan", "SELECT l.l_orderkey, l.l_shipdate FROM lineitem l WHERE l.l_shipdate >= TIMESTAMP '1997-01-01' AND l.l_returnflag='R'")
@@ -58,10 +60,10 @@ def b10(s, d):
     return load(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
 
 
-@query("b12_order_nulls", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_size END DESC NULLS LAST, p_partkey) AS place FROM part QUALIFY place <= 500")
+@query("b12_order_nulls", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_size END DESC NULLS LAST, p_partkey) AS place FROM part")
 def b12(s, d):
-    p = load(s, d, "part").select("p_partkey", F.when(c("p_size") > 40, None).otherwise(c("p_size")).alias("z")).orderBy(c("z").desc_nulls_last(), "p_partkey").limit(500)
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(c("z").desc_nulls_last(), "p_partkey")).cast("long").alias("place"))
+    p = load(s, d, "part").select("p_partkey", F.when(c("p_size") > 40, None).otherwise(c("p_size")).alias("z"))
+    return R.placed(p, [c("z").desc_nulls_last(), c("p_partkey").asc()]).select("p_partkey", "place")
 
 
 @query("b14_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

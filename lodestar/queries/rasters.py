@@ -86,7 +86,7 @@ def h10(s, d):
 @query("h12_stretch", "SELECT scene, r, c, round(least(255, greatest(0, 255*(nir-lo)/(hi-lo))), 4) AS v FROM fx_pixels JOIN (SELECT scene, quantile_cont(nir, 0.02) AS lo, quantile_cont(nir, 0.98) AS hi FROM fx_pixels GROUP BY 1) USING (scene)")
 def h12(s, d):
     q = pixels(s, d).groupBy("scene").agg(F.percentile("nir", 0.02).alias("lo"), F.percentile("nir", 0.98).alias("hi"))
-    return pixels(s, d).join(F.broadcast(q.limit(10_000)), "scene").select(*KEYS, r4(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 255 * (c("nir") - c("lo")) / (c("hi") - c("lo"))))).alias("v"))
+    return pixels(s, d).join(q, "scene").select(*KEYS, r4(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 255 * (c("nir") - c("lo")) / (c("hi") - c("lo"))))).alias("v"))
 
 
 @query("h13_radiometric", "SELECT scene, r, c, round(nir*0.02+1.5, 6) AS radiance, round(pi()*(nir*0.02+1.5)/(1500*sin(radians(40))), 9) AS reflectance FROM fx_pixels")
