@@ -205,21 +205,64 @@ def tags(s, d):
     return X.elements(load(s, d, "pages"))
 
 
-def with_images(s, d):
-    """Pages with a few faults put in, by page number, as the table has none of them."""
-    p, k = load(s, d, "pages"), c("page_id")
-    extra = F.concat(F.when(k % 3 == 0, '<img src="a.png">').otherwise('<img src="a.png" alt="A map">'), F.when(k % 4 == 0, '<input type="text" id="q"><h4>Late</h4>').otherwise('<label for="q">Name</label><input type="text" id="q">'),
-                     F.when(k % 5 == 0, '<button></button><div id="q" tabindex="3" role="nonsense">x</div>').otherwise(""), F.when(k % 7 == 0, '<p style="color:#777777;background-color:#888888">faint</p>').otherwise(""))
-    return p.select("page_id", F.regexp_replace("html", "</article>", "").alias("h"), extra.alias("e")).select("page_id", F.concat(F.regexp_replace("h", "</body></html>$", ""), "e", F.lit("</body></html>")).alias("html"))
+#: Rewritings of a page's own links, bold starts and advertisements, as (pattern, replacement with \1): what they make of a page hangs on its words.
+REWRITES = [
+    (r'<li><a href="/(\w)', r'<li id="\1"><a href="/\1'), (r'<a href="/([^"]*[{kept}])">[^<]*</a>', r'<img src="/\1.png" alt="\1">'), (r'<a href="/([^"]*[{lost}])">[^<]*</a>', r'<img src="/\1.png">'),
+    (r'<a href="/([^"]{{5,}})">[^<]*</a>', r'<a href="/\1" tabindex="5"></a>'), (r"<b>", r"<h3>"), (r'<div class="ad">([A-M])', r'<div class="ad" role="checkbox">\1'), (r'<div class="ad">([N-Z]\w+)', r'<div class="ad" role="\1">\1'),
+]
+KEPT, LOST = "a-m", "n-s"
 
 
-def bad(s, d):
-    return X.elements(with_images(s, d))
+def marked_up(s, d, kept=KEPT, lost=LOST):
+    """Pages whose links became images (those on `lost` letters without a text), whose lists have ids and whose footers take colours from a digest of the title."""
+    h = c("html")
+    for pattern, put in REWRITES:
+        h = F.regexp_replace(h, pattern.format(kept=kept, lost=lost), put.replace("\\1", "$1"))
+    digest = F.md5(F.regexp_extract("html", "<title>([^<]*)</title>", 1).cast("binary"))
+    footer = F.concat(F.lit('<footer style="color:#'), F.left(digest, F.lit(6)), F.lit(";background-color:#"), F.substring(digest, 7, 6), F.lit('">'))
+    return load(s, d, "pages").select("page_id", F.replace(h, F.lit("<footer>"), footer).alias("html"))
+
+
+def marked_sql(kept=KEPT, lost=LOST):
+    h = "html"
+    for pattern, put in REWRITES:
+        h = f"regexp_replace({h}, '{pattern.format(kept=kept, lost=lost)}', '{put}', 'g')"
+    digest = "md5(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+    return f"SELECT page_id, replace({h}, '<footer>', concat('<footer style=\"color:#', left({digest}, 6), ';background-color:#', substr({digest}, 7, 6), '\">')) AS html FROM pages"
+
+
+def bad(s, d, kept=KEPT, lost=LOST):
+    return X.elements(marked_up(s, d, kept, lost))
 
 
 STRIPPED = r"regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>|<script\b.*?</script>|<style\b.*?</style>', '', 'gs')"
 
 
+def tag_sql(kept=KEPT, lost=LOST):
+    """SQL for the start tags (page_id, nth, raw) of the marked-up pages, and the text that follows each."""
+    return f"SELECT page_id, unnest(range(len(l))) AS nth, unnest(l) AS raw FROM (SELECT page_id, regexp_extract_all({STRIPPED}, '<[a-zA-Z][^>]*>[^<]*') AS l FROM ({marked_sql(kept, lost)}))"
+
+
+def value_sql(name):
+    return f"regexp_extract(raw, '^<[^>]* {name}=\"([^\"]*)\"', 1)"
+
+
+def has_sql(name):
+    return f"regexp_matches(raw, '^<[^>]* {name}=')"
+
+
+NO_ALT = "SELECT page_id, 'img' AS tag FROM ({tags}) WHERE starts_with(raw, '<img') AND " + value_sql("alt") + " = ''"
+RULES = {
+    "alt": (NO_ALT.format(tags=tag_sql()), "critical"),
+    "label": (f"SELECT page_id, 'a' AS tag FROM ({tag_sql()}) WHERE regexp_matches(raw, '^<a [^>]*> *$')", "serious"),
+    "id": (f"SELECT page_id, id, count(*)::BIGINT AS n FROM (SELECT page_id, {value_sql('id')} AS id FROM ({tag_sql()})) WHERE id <> '' GROUP BY 1, 2 HAVING count(*) > 1", "moderate"),
+    "heading": (f"""SELECT page_id, unnest(list_filter([CASE WHEN lv-coalesce(prior, 0) > 1 THEN 'skipped' END, CASE WHEN bare THEN 'empty' END, CASE WHEN lv=1 AND ones > 1 THEN 'second_h1' END], lambda x: x IS NOT NULL)) AS issue, lv AS at
+      FROM (SELECT page_id, lv, bare, lag(lv) OVER w AS prior, sum((lv=1)::INT) OVER w AS ones FROM (SELECT page_id, nth, substr(raw, 3, 1)::INT AS lv, trim(regexp_extract(raw, '>([^<]*)$', 1)) = '' AS bare FROM ({tag_sql()}) WHERE regexp_matches(raw, '^<h[1-6][ >]')) WINDOW w AS (PARTITION BY page_id ORDER BY nth))""", "moderate"),
+    "tabindex": (f"SELECT page_id, 'tabindex' AS issue FROM ({tag_sql()}) WHERE {has_sql('tabindex')}", "minor"),
+    "role": (f"SELECT page_id, role, CASE WHEN role='checkbox' THEN 'missing_attribute' ELSE 'unknown_role' END AS issue FROM (SELECT page_id, {value_sql('role')} AS role FROM ({tag_sql()}) WHERE {has_sql('role')})", "serious"),
+}
+
+
 @query("q1_elements", f"SELECT page_id, count(*) FILTER (WHERE NOT starts_with(t, '</')) AS opened, count(*) FILTER (WHERE starts_with(t, '</')) AS closed FROM (SELECT page_id, unnest(regexp_extract_all({STRIPPED}, '<[a-zA-Z/][^>]*>')) AS t FROM pages) GROUP BY 1")
 def q1(s, d):
     return tags(s, d).groupBy("page_id").agg(F.count_if(c("kind") != "end").alias("opened"), F.count_if(c("kind") == "end").alias("closed"))
@@ -232,14 +275,18 @@ def q1_parents(s, d):
     return e.where("kind <> 'end'").join(up, ["page_id", "parent"]).groupBy("tag", "parent_tag").agg(F.count("*").alias("n"))
 
 
-@query("q2_alternative_text", "SELECT page_id, 'img' AS tag FROM pages WHERE page_id%3=0")
+@query("q2_alternative_text", RULES["alt"][0])
 def q2(s, d):
+    return without_alt(bad(s, d))
+
+
+def without_alt(e):
     need = c("tag").isin("img", "area", "object") | ((c("tag") == "input") & (X.attribute("type") == "image"))
     hidden = F.coalesce(X.attribute("aria-hidden") == "true", F.lit(False))
-    return bad(s, d).where(need & (c("kind") != "end") & ~hidden & (F.coalesce(X.attribute("alt"), F.lit("")) == "")).select("page_id", "tag")
+    return e.where(need & (c("kind") != "end") & ~hidden & (F.coalesce(X.attribute("alt"), F.lit("")) == "")).select("page_id", "tag")
 
 
-@query("q3_labels", "SELECT page_id, 'input' AS tag FROM pages WHERE page_id%4=0 UNION ALL SELECT page_id, 'button' FROM pages WHERE page_id%5=0")
+@query("q3_labels", RULES["label"][0])
 def q3(s, d):
     e = bad(s, d).where("kind <> 'end'")
     named = F.coalesce(X.attribute("aria-label"), X.attribute("title"), F.lit("")) != ""
@@ -255,12 +302,12 @@ def q4(s, d):
     return g.select("page_id", "code", c("code").rlike("^[a-z]{2,3}(-[A-Za-z0-9]+)*$").alias("valid"), "title_length")
 
 
-@query("q5_duplicate_ids", "SELECT page_id, 'q' AS id, 2 AS n FROM pages WHERE page_id%5=0")
+@query("q5_duplicate_ids", RULES["id"][0])
 def q5(s, d):
     return bad(s, d).where("kind <> 'end'").select("page_id", X.attribute("id").alias("id")).where("id <> ''").groupBy("page_id", "id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("q6_heading_order", "SELECT page_id, 'skipped' AS issue, 4 AS at FROM pages WHERE page_id%4=0")
+@query("q6_heading_order", RULES["heading"][0])
 def q6(s, d):
     h = bad(s, d).where("kind = 'start'").where(c("tag").rlike("^h[1-6]$")).withColumn("at", F.substring("tag", 2, 1).cast("int"))
     w = Window.partitionBy("page_id").orderBy("pos")
@@ -277,7 +324,7 @@ def q7(s, d):
     return items.groupBy("page_id").agg(F.count("*").alias("items"), F.count_if(~F.coalesce(c("parent_tag").isin("ul", "ol", "menu"), F.lit(False))).alias("misplaced"))
 
 
-@query("q8_presence", "SELECT page_id, 'tabindex' AS issue FROM pages WHERE page_id%5=0")
+@query("q8_presence", RULES["tabindex"][0])
 def q8(s, d):
     e = bad(s, d).where("kind <> 'end'")
     rules = F.array_compact(F.array(F.when(X.attribute("tabindex").cast("int") > 0, "tabindex"), F.when((c("tag") == "meta") & (F.lower(X.attribute("http-equiv")) == "refresh"), "refresh"), F.when(c("tag").isin("blink", "marquee"), c("tag"))))
@@ -289,26 +336,28 @@ ROLES = "alert banner button checkbox complementary contentinfo dialog form grid
 REQUIRED = {"checkbox": "aria-checked", "slider": "aria-valuenow", "heading": "aria-level", "option": "aria-selected", "switch": "aria-checked"}
 
 
-@query("q9_roles", "SELECT page_id, 'nonsense' AS role, 'unknown_role' AS issue FROM pages WHERE page_id%5=0")
+@query("q9_roles", RULES["role"][0])
 def q9(s, d):
     e = bad(s, d).where("kind <> 'end'").withColumn("role", X.attribute("role")).where("role IS NOT NULL")
     need = F.create_map(*[F.lit(x) for p in REQUIRED.items() for x in p])[c("role")]
     return e.select("page_id", "role", F.explode(F.array_compact(F.array(F.when(~c("role").isin(ROLES), "unknown_role"), F.when(need.isNotNull() & ~F.array_contains("attributes", F.coalesce(need, F.lit(""))), "missing_attribute")))).alias("issue"))
 
 
-def lum(v):
-    ch = [f"(CASE WHEN {x}/255.0 <= 0.03928 THEN {x}/255.0/12.92 ELSE pow(({x}/255.0+0.055)/1.055, 2.4) END)" for x in v]
+def lum(colour):
+    """SQL for the relative luminance of six hexadecimal digits."""
+    ch = [f"(CASE WHEN {x} <= 0.03928 THEN {x}/12.92 ELSE pow(({x}+0.055)/1.055, 2.4) END)" for x in (f"(('0x'||substr({colour}, {at}, 2))::INT/255.0)" for at in (1, 3, 5))]
     return f"(0.2126*{ch[0]}+0.7152*{ch[1]}+0.0722*{ch[2]})"
 
 
-@query("q10_contrast", f"SELECT page_id, round(({lum([136] * 3)}+0.05)/({lum([119] * 3)}+0.05), 4) AS ratio, false AS enough FROM pages WHERE page_id%7=0")
+@query("q10_contrast", f"""SELECT page_id, round(ratio, 4) AS ratio, ratio >= 4.5 AS enough FROM (SELECT page_id, (greatest(la, lb)+0.05)/(least(la, lb)+0.05) AS ratio FROM (SELECT page_id, {lum('a')} AS la, {lum('b')} AS lb
+  FROM (SELECT page_id, regexp_extract(html, 'style="color:#([0-9a-f]*);', 1) AS a, regexp_extract(html, 'background-color:#([0-9a-f]*)"', 1) AS b FROM ({marked_sql()}))))""")
 def q10(s, d):
     style = X.attribute("style")
     e = bad(s, d).where("kind <> 'end'").select("page_id", F.regexp_extract(style, r"(?:^|;)\s*color:\s*(#[0-9a-fA-F]{6})", 1).alias("a"), F.regexp_extract(style, r"background-color:\s*(#[0-9a-fA-F]{6})", 1).alias("b")).where("a <> '' AND b <> ''")
     return e.select("page_id", X.contrast(c("a"), c("b")).alias("x")).select("page_id", r4("x").alias("ratio"), (c("x") >= 4.5).alias("enough"))
 
 
-@query("q11_alt_quality", "SELECT page_id, 'A map' AS alt, true AS fine FROM pages WHERE page_id%3<>0")
+@query("q11_alt_quality", f"SELECT page_id, alt, length(alt) >= 3 AND length(alt) <= 125 AS fine FROM (SELECT page_id, {value_sql('alt')} AS alt FROM ({tag_sql()}) WHERE {has_sql('alt')})")
 def q11(s, d):
     a = X.attribute("alt")
     e = bad(s, d).where("kind <> 'end' AND tag = 'img'").select("page_id", a.alias("alt")).where("alt IS NOT NULL")
@@ -336,7 +385,7 @@ def page_issues(s, d):
     return out
 
 
-ISSUES = "SELECT page_id, 'critical' AS severity FROM pages WHERE page_id%3=0 UNION ALL SELECT page_id, 'serious' FROM pages WHERE page_id%4=0 UNION ALL SELECT page_id, 'moderate' FROM pages WHERE page_id%4=0 UNION ALL SELECT page_id, unnest(['serious', 'moderate', 'minor', 'serious']) FROM pages WHERE page_id%5=0"
+ISSUES = " UNION ALL ".join(f"SELECT page_id, '{severity}' AS severity FROM ({sql})" for sql, severity in RULES.values())
 
 
 @query("q13_score", f"SELECT page_id, sum(CASE severity WHEN 'critical' THEN 100 WHEN 'serious' THEN 75 WHEN 'moderate' THEN 50 ELSE 25 END)::BIGINT AS points, count(*) AS issues FROM ({ISSUES}) GROUP BY 1")
@@ -358,8 +407,13 @@ def q14(s, d):
     return page_issues(s, d).groupBy("severity").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query("q15_between_scans", "SELECT page_id, 'resolved' AS change FROM pages WHERE page_id%3=0 AND page_id%2=0 UNION ALL SELECT page_id, 'still' FROM pages WHERE page_id%3=0 AND page_id%2=1")
+LATER = ("d-p", "q-t")
+
+
+@query("q15_between_scans", f"""WITH a AS (SELECT page_id, count(*) AS n FROM ({RULES['alt'][0]}) GROUP BY 1), b AS (SELECT page_id, count(*) AS n FROM ({NO_ALT.format(tags=tag_sql(*LATER))}) GROUP BY 1)
+  SELECT page_id, CASE WHEN b.n IS NULL THEN 'resolved' WHEN a.n IS NULL THEN 'new' ELSE 'still' END AS change, coalesce(b.n, 0)-coalesce(a.n, 0) AS more FROM a FULL JOIN b USING (page_id)""")
 def q15(s, d):
-    before = q2(s, d).select("page_id", F.lit(True).alias("a"))
-    after = before.where("page_id % 2 = 1").select("page_id", F.lit(True).alias("b"))
-    return before.join(after, "page_id", "full").select("page_id", F.when(c("b").isNull(), "resolved").when(c("a").isNull(), "new").otherwise("still").alias("change"))
+    """Pages that lost, gained or kept images without a text between two scans, the later one of pages marked up in another way."""
+    scan = lambda name, *how: without_alt(bad(s, d, *how)).groupBy("page_id").agg(F.count("*").alias(name))
+    both = scan("a").join(scan("b", *LATER), "page_id", "full")
+    return both.select("page_id", F.when(c("b").isNull(), "resolved").when(c("a").isNull(), "new").otherwise("still").alias("change"), (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("more"))
