@@ -81,20 +81,60 @@ def flow_direction(dem: DataFrame, value: str) -> DataFrame:
     return n.select("r", "c", F.coalesce(best["code"], F.lit(0)).alias("code"), F.coalesce(best["dr"], F.lit(0)).alias("dr"), F.coalesce(best["dc"], F.lit(0)).alias("dc"))
 
 
-def flow_accumulation(flow: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(r, c, upstream): how many cells drain through each. Every round moves the counts that are still on the way one cell down."""
-    place = flow.select("r", "c", "dr", "dc")
-    moving = durable(place.where("dr <> 0 OR dc <> 0").groupBy((F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).agg(F.count("*").alias("n")))
-    got = moving
+def flow_accumulation(flow: DataFrame, rounds: int = 64) -> DataFrame:
+    """(r, c, upstream): how many cells drain through each.
+
+    Pointers double: after k rounds each cell points 2**k cells down its way and has counted what lies less than 2**k cells up from it, so the longest
+    way of n cells takes log n rounds of one join and one aggregation. Cells that flow out of the table end their way there.
+    """
+    cells = flow.select("r", "c")
+    down = flow.where("dr <> 0 OR dc <> 0").select("r", "c", (F.col("r") + F.col("dr")).alias("tr"), (F.col("c") + F.col("dc")).alias("tc"))
+    jump = down.join(cells.select(F.col("r").alias("tr"), F.col("c").alias("tc")), ["tr", "tc"], "left_semi").select("r", "c", "tr", "tc")
+    state = durable(cells.join(jump, ["r", "c"], "left").withColumn("n", F.lit(1).cast("long")))
     for _ in range(rounds):
-        down = moving.join(place, ["r", "c"]).where("dr <> 0 OR dc <> 0").select((F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "n")
-        moving = durable(down.groupBy("r", "c").agg(F.sum("n").alias("n")))
-        if moving.isEmpty():
-            return flow.select("r", "c").join(got.groupBy("r", "c").agg(F.sum("n").alias("upstream")), ["r", "c"], "left").select("r", "c", F.coalesce("upstream", F.lit(0)).alias("upstream"))
-        got = durable(got.unionByName(moving).groupBy("r", "c").agg(F.sum("n").alias("n")))
+        arrived = state.where("tr IS NOT NULL").groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum("n").alias("more"))
+        on = state.select(F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("tr").alias("ur"), F.col("tc").alias("uc"))
+        moved = state.join(arrived, ["r", "c"], "left").join(on, ["tr", "tc"], "left")
+        state = durable(moved.select("r", "c", F.col("ur").alias("tr"), F.col("uc").alias("tc"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        if state.where("tr IS NOT NULL").isEmpty():
+            return state.select("r", "c", (F.col("n") - 1).alias("upstream"))
     raise RuntimeError(f"water was still moving after {rounds} rounds")
 
 
+def six_s(band: Column, path: float, down: float, up: float) -> Column:
+    """Surface reflectance: less the path radiance, over both transmittances, kept within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (band - path) / (down * up)))
+
+
+# How much aerosol scatters, by surroundings.
+AEROSOL = {"rural": 1.0, "maritime": 0.8, "urban": 1.3}
+
+
+def flaash(band: Column, wavelength: float, visibility: float, aerosol: str = "rural") -> Column:
+    """Reflectance corrected by scattering of air and aerosol at a wavelength (micrometres) and visibility (km); a tenth of it is absorbed."""
+    scattering = 0.008735 * wavelength**-4.08 + 3.91 / visibility * AEROSOL[aerosol] * wavelength**-1.3
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (band - 0.1 * scattering) / (1 + scattering)))
+
+
+def sunlit(dem: DataFrame, value: str, zenith: float, azimuth: float) -> DataFrame:
+    """(r, c, factor) by which a band is multiplied to take out slopes: the cosine of the zenith over that of the incidence, 1 where the sun does not reach; only cells with all four sides."""
+    n = neighbours8(dem, value)
+    v = {(i, j): F.col(f"`n_{i}_{j}`") for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0))}
+    dx, dy = (v[0, 1] - v[0, -1]) / 2, (v[1, 0] - v[-1, 0]) / 2
+    slope, aspect = F.atan(F.sqrt(dx * dx + dy * dy)), F.atan2(dy, dx)
+    z, a = math.radians(zenith), math.radians(azimuth)
+    incidence = math.cos(z) * F.cos(slope) + math.sin(z) * F.sin(slope) * F.cos(F.lit(a) - aspect)
+    return n.where(dx.isNotNull() & dy.isNotNull()).select("r", "c", F.when(incidence > 0, math.cos(z) / incidence).otherwise(1.0).alias("factor"))
+
+
+def high_pass(pixels: DataFrame, pan: str, by: list[str]) -> DataFrame:
+    """(by.., r, c, detail): a panchromatic band less the mean of the 3 by 3 cells round each that are there."""
+    n = neighbours8(pixels, pan, by)
+    near = F.array_compact(F.array(*window_of(n)))
+    mean = F.aggregate(near, F.lit(0.0), lambda s, v: s + v) / F.size(near)
+    return n.select(*by, "r", "c", (F.col("n_0_0") - mean).alias("detail"))
+
+
 def contour_segments(dem: DataFrame, value: str, levels: list[float]) -> DataFrame:
     """(level, r, c, x1, y1, x2, y2): segments of iso-lines in each square of four cells by marching squares, points linear on the edges.
 

@@ -56,6 +56,30 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], every: bool = F
     return t.where(hit).select(key, score.alias("score"))
 
 
+def multi_match(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], how: str = "best", tie: float = 0.0) -> DataFrame:
+    """(key, score) over several text fields, each with a boost: `best` is the best field's score plus `tie` times the others', `most` the sum of all, `cross` a
+    sum over terms of each term's best field. Every field is scored on its own statistics; documents that hold a term in no field are left out.
+    """
+    if how not in ("best", "most", "cross"):
+        raise ValueError("how is best, most or cross")
+    groups = [[t] for t in terms] if how == "cross" else [terms]
+    parts = []
+    for n, group in enumerate(groups):
+        for field, boost in fields.items():
+            parts.append(bm25(docs, key, field, group).select(key, F.lit(n).alias("group"), (F.col("score") * boost).alias("score")))
+    each = reduce(DataFrame.unionByName, parts).groupBy(key, "group").agg(F.max("score").alias("top"), F.sum("score").alias("all"))
+    value = {"best": F.col("top") + tie * (F.col("all") - F.col("top")), "most": F.col("all"), "cross": F.col("top")}[how]
+    return each.groupBy(key).agg(F.sum(value).alias("score"))
+
+
+def sounds_like(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """(key, asked, terms, n): documents that hold words which sound like one of `names`, those words in order, and how many they are in all. Words are matched by their sound code, Latin letters alone."""
+    asked = F.array(*[F.struct(F.lit(n).alias("asked"), F.soundex(F.lit(n)).alias("sound")) for n in names])
+    each = docs.select(key, F.explode(F.filter(words(text), lambda w: w.rlike("^[a-z]+$"))).alias("term"))
+    hit = each.withColumn("a", F.explode(F.filter(asked, lambda a: a["sound"] == F.soundex("term")))).groupBy(key, F.col("a.asked").alias("asked"), "term").agg(F.count("*").alias("k"))
+    return hit.groupBy(key, "asked").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.sum("k").alias("n"))
+
+
 def phrase(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, n): how often the terms stand one after another in a document."""
     w = docs.select(key, words(text).alias("w")).where(reduce(lambda p, q: p & q, [F.array_contains("w", t) for t in terms]))

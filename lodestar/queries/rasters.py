@@ -113,6 +113,24 @@ def h17(s, d):
     return pixels(s, d).select(*KEYS, r6(div(c("red") * c("swir1"), t)).alias("red"), r6(div(c("green") * c("swir1"), t)).alias("green"))
 
 
+@query("h17_high_pass", "SELECT a.scene, a.r, a.c, round(max(a.red)+max(a.swir1)-avg(b.swir1), 6) AS red, round(max(a.nir)+max(a.swir1)-avg(b.swir1), 6) AS nir FROM fx_pixels a JOIN fx_pixels b ON b.scene=a.scene AND b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 GROUP BY 1, 2, 3")
+def h17_high_pass(s, d):
+    p = pixels(s, d).join(A.high_pass(pixels(s, d), "swir1", ["scene"]), ["scene", "r", "c"])
+    return p.select(*KEYS, r6(c("red") + c("detail")).alias("red"), r6(c("nir") + c("detail")).alias("nir"))
+
+
+@query("h16_atmosphere", "SELECT scene, r, c, round(greatest(0, least(1, (red-0.05)/(0.8*0.9))), 6) AS six_s, round(greatest(0, least(1, (nir-0.1*s)/(1+s))), 6) AS flaash FROM fx_pixels, (SELECT 0.008735*pow(0.85, -4.08)+3.91/30*1.3*pow(0.85, -1.3) AS s)")
+def h16(s, d):
+    return pixels(s, d).select(*KEYS, r6(A.six_s(c("red"), 0.05, 0.8, 0.9)).alias("six_s"), r6(A.flaash(c("nir"), 0.85, 30.0, "urban")).alias("flaash"))
+
+
+@query("h16_topographic", """SELECT p.scene, p.r, p.c, round(CASE WHEN ci > 0 THEN red*cos(radians(40))/ci ELSE red END, 6) AS red FROM fx_pixels p JOIN (SELECT r, c, cos(radians(40))*cos(slope)+sin(radians(40))*sin(slope)*cos(radians(150)-aspect) AS ci
+  FROM (SELECT m.r, m.c, atan(sqrt(pow((e.elev-w.elev)/2, 2)+pow((n.elev-s.elev)/2, 2))) AS slope, atan2((n.elev-s.elev)/2, (e.elev-w.elev)/2) AS aspect FROM fx_dem m JOIN fx_dem e ON e.r=m.r AND e.c=m.c+1 JOIN fx_dem w ON w.r=m.r AND w.c=m.c-1 JOIN fx_dem n ON n.r=m.r+1 AND n.c=m.c JOIN fx_dem s ON s.r=m.r-1 AND s.c=m.c)) t ON t.r=p.r AND t.c=p.c""")
+def h16_topographic(s, d):
+    lit = A.sunlit(load(s, d, "fx_dem"), "elev", 40.0, 150.0)
+    return pixels(s, d).join(lit, ["r", "c"]).select(*KEYS, r6(c("red") * c("factor")).alias("red"))
+
+
 @query("h18_mosaic_first_last", "SELECT r, c, arg_min(nir, scene) AS first_nir, arg_max(nir, scene) AS last_nir, round(sum(nir/(1+scene))/sum(1.0/(1+scene)), 6) AS weighted FROM fx_pixels GROUP BY 1, 2")
 def h18(s, d):
     w = 1.0 / (1 + c("scene"))

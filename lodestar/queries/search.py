@@ -65,6 +65,34 @@ def k6(s, d):
     return load(s, d, "part").select("p_partkey", a.alias("by_name"), b.alias("by_type"), F.greatest(a, b).alias("best"), (a + b).alias("most")).where("best > 0")
 
 
+def field_bm(field, terms, boost):
+    """SQL for boosted scores of one field of part."""
+    return f"SELECT p_partkey AS doc_id, {boost}*score AS score FROM ({bm(terms).replace('FROM documents', 'FROM (SELECT p_partkey AS doc_id, ' + field + ' AS text FROM part)')}) q(p_partkey, score)"
+
+
+FIELDS = {"p_name": 3.0, "p_type": 1.0}
+ASKED = ["brass", "steel", "1"]
+
+
+@query("k6_scored_fields", "SELECT doc_id AS p_partkey, round(max(score)+0.3*(sum(score)-max(score)), 6) AS best, round(sum(score), 6) AS most FROM (" + " UNION ALL ".join(field_bm(f, ASKED, b) for f, b in FIELDS.items()) + ") GROUP BY 1")
+def k6_scored(s, d):
+    """Two fields, each scored on its own statistics and boosted."""
+    p = load(s, d, "part")
+    best = X.multi_match(p, "p_partkey", FIELDS, ASKED, "best", 0.3).withColumnRenamed("score", "best")
+    return best.join(X.multi_match(p, "p_partkey", FIELDS, ASKED, "most"), "p_partkey").select("p_partkey", r6("best").alias("best"), r6("score").alias("most"))
+
+
+@query("k6_cross_fields", "SELECT doc_id AS p_partkey, round(sum(top), 6) AS score FROM (SELECT doc_id, t, max(score) AS top FROM (" + " UNION ALL ".join(f"SELECT *, '{t}' AS t FROM ({field_bm(f, [t], b)})" for t in ASKED for f, b in FIELDS.items()) + ") GROUP BY 1, 2) GROUP BY 1")
+def k6_cross(s, d):
+    return X.multi_match(load(s, d, "part"), "p_partkey", FIELDS, ASKED, "cross").select("p_partkey", r6("score").alias("score"))
+
+
+@query("k14_sounds_like")
+def k14_sounds(s, d):
+    """Documents with words that sound like three names."""
+    return X.sounds_like(docs(s, d), "doc_id", "text", ["than", "wither", "fore"])
+
+
 @query("k7_phrase", f"SELECT doc_id, n::BIGINT AS n FROM (SELECT doc_id, len(list_filter(range(0, len(w)-1), lambda k: w[k+1]='of' AND w[k+2]='the')) AS n FROM (SELECT doc_id, {DOC} AS w FROM documents)) WHERE n > 0")
 def k7(s, d):
     return X.phrase(docs(s, d), "doc_id", "text", ["of", "the"]).select("doc_id", c("n").cast("long").alias("n"))
@@ -138,6 +166,16 @@ def k18(s, d):
     return p.where("m <= 4000000").orderBy("m", "id").limit(50).select("id", F.round("m", 2).alias("metres"))
 
 
+@query("k18_polygon_search", """WITH q(k, x1, y1) AS (VALUES (0, -100.0, -40.0), (1, 80.0, -20.0), (2, -20.0, 60.0)), e AS (SELECT x1, y1, lead(x1, 1, -100.0) OVER (ORDER BY k) AS x2, lead(y1, 1, -40.0) OVER (ORDER BY k) AS y2 FROM q)
+  SELECT id, round(sqrt(pow(lon, 2)+pow(lat, 2)), 6) AS distance FROM fx_points, e GROUP BY id, lon, lat HAVING sum(((y1 > lat) <> (y2 > lat) AND lon < (x2-x1)*(lat-y1)/(y2-y1)+x1)::INT)%2=1""")
+def k18_polygon(s, d):
+    """Points in a drawn triangle, with their distance from its centre of interest."""
+    from ..functions import geometry as Y
+
+    ring = Y.ring(*[(F.lit(x), F.lit(y)) for x, y in ((-100.0, -40.0), (80.0, -20.0), (-20.0, 60.0))])
+    return load(s, d, "fx_points").where(Y.inside(c("lon"), c("lat"), ring)).select("id", r6(F.hypot("lon", "lat")).alias("distance"))
+
+
 @query("k19_field_factor", "SELECT p_partkey, round(log10(p_retailprice+1), 6) AS log1p, round(ln(p_retailprice+2), 6) AS ln2p, round(sqrt(p_retailprice), 6) AS root, round(p_retailprice*p_retailprice, 2) AS square, round(1/p_retailprice, 9) AS reciprocal FROM part")
 def k19(s, d):
     p = c("p_retailprice")

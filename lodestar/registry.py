@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from .queries import billing, business, density, events, geo, governance, learning, networks, overlays, pipelines, rasters, relational, search, sources, spatial, stateful, streams, text_ml, vectortiles  # noqa: E402,F401
+from .queries import billing, business, density, events, geo, governance, landcover, learning, networks, overlays, pipelines, rasters, relational, search, sources, spatial, stateful, streams, text_ml, vectortiles  # noqa: E402,F401
