@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
+#: Fixed value: below this t-value (with an intercept, at 5 %) a series is not taken for a random walk.
+UNIT_ROOT = -2.86
 RESULT = "d int, p int, q int, n long, intercept double, ar array<double>, ma array<double>, sigma2 double, aic double, next double"
 
 
@@ -34,9 +36,9 @@ def _least_squares(gram: np.ndarray, use: list[int]) -> tuple[np.ndarray, float]
 def arima(df: DataFrame, by: str, order: list[str], value: str, most_p: int = 2, most_q: int = 1, most_d: int = 1, long: int = 8) -> DataFrame:
     """(by, d, p, q, n, intercept, ar, ma, sigma2, aic, next) of the best model of each series, `next` being its forecast one step on.
 
-    A series is differenced d times, d being the least of 0..most_d after which one more difference would not lower its variance. Its errors are first taken
+    A series is differenced d times, d being the least of 0..most_d at which a Dickey-Fuller test finds no unit root (else most_d). Its errors are first taken
     from an autoregression of `long` lags, then the series is regressed on up to `most_p` of its own lags and `most_q` of those errors. Both steps are least squares
-    on sums of products, added up per series in tasks; all orders are solved from the same sums, and the least aic wins (ties: the lower p, then q).
+    on sums of products, added up per series in tasks; all orders are solved from the same sums, and the least Bayesian criterion wins (ties: the lower p, then q).
 
     Rows whose value is null are left out, rows without `by` too; of a series with fewer than 3 * long values nothing is returned. Ties in `order` are
     settled by the value. Only the windows for lags need a series in order; they stream over it.
@@ -48,11 +50,17 @@ def arima(df: DataFrame, by: str, order: list[str], value: str, most_p: int = 2,
         before = levels[-1]
         step = before.withColumn("_b", F.lag("z").over(w)).where("_b IS NOT NULL")
         levels.append(step.select("by", "_o", (c("z") - c("_b")).alias("z"), (c("last") + c("z")).alias("last")))
-    spread = reduce(DataFrame.unionByName, [x.groupBy("by").agg(F.var_pop("z").alias("v")).withColumn("d", F.lit(d)) for d, x in enumerate(levels)])
-    chain = spread.groupBy("by").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("s"))
-    # the first d whose successor has no smaller variance
-    stop = F.filter(F.transform("s", lambda e: F.when((e["d"] == most_d) | (F.get("s", e["d"] + 1)["v"] >= e["v"]), e["d"])), lambda x: x.isNotNull())
-    chosen = chain.select("by", F.array_min(stop).alias("d"))
+    # whether a level stays about its mean: the t-value of its changes against where they start from
+    rooted = []
+    for d, x in enumerate(levels[:-1]):
+        step = c("z") - c("_b")
+        r = F.try_divide(F.covar_pop(step, "_b"), F.stddev_pop(step) * F.stddev_pop("_b"))
+        t = x.withColumn("_b", F.lag("z").over(w)).where("_b IS NOT NULL").groupBy("by").agg(r.alias("r"), F.count("*").alias("n"))
+        steady = F.coalesce(F.nanvl(c("r"), F.lit(-1.0)), F.lit(-1.0))
+        value_t = steady * F.sqrt((c("n") - 2) / F.greatest(1 - steady * steady, F.lit(1e-12)))
+        rooted.append(t.select("by", F.when(value_t < UNIT_ROOT, d).alias("d")))
+    keys = z.select("by").distinct()
+    chosen = keys.withColumn("d", F.lit(0)) if not rooted else keys.join(reduce(DataFrame.unionByName, rooted).groupBy("by").agg(F.min("d").alias("d")), "by", "left").select("by", F.coalesce("d", F.lit(most_d)).alias("d"))
     series = reduce(DataFrame.unionByName, [x.join(chosen.where(c("d") == d), "by") for d, x in enumerate(levels)])
     lagged = series.select("by", "d", "_o", "z", "last", *[F.lag("z", k).over(w).alias(f"z{k}") for k in range(1, long + 1)])
     lags = [f"z{k}" for k in range(1, long + 1)]
@@ -85,10 +93,11 @@ def arima(df: DataFrame, by: str, order: list[str], value: str, most_p: int = 2,
                     for q in range(most_q + 1):
                         use = [0, *range(1, p + 1), *range(most_p + 1, most_p + 1 + q)]
                         x, sse = _least_squares(gram, use)
-                        aic = n * np.log(max(sse / n, 1e-300)) + 2 * (len(use) + 1)
-                        if best is None or aic < best[0] - 1e-9:
-                            best = (aic, p, q, x, sse / n)
-                aic, p, q, x, s2 = best
+                        fit = n * np.log(max(sse / n, 1e-300))
+                        bic = fit + (len(use) + 1) * np.log(n)
+                        if best is None or bic < best[0] - 1e-9:
+                            best = (bic, p, q, x, sse / n, fit + 2 * (len(use) + 1))
+                _, p, q, x, s2, aic = best
                 ar, ma = x[1 : 1 + p], x[1 + p :]
                 step = float(x[0] + ar @ np.array(end[:p]) + ma @ np.array(end[most_p + 1 : most_p + 1 + q]))
                 rows.append({"by": who, "d": d, "p": p, "q": q, "n": n, "intercept": float(x[0]), "ar": ar.tolist(), "ma": ma.tolist(), "sigma2": s2, "aic": float(aic), "next": step + last})

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoint import durable
+from ..checkpoint import written
 from .graph import components
 
 c = F.col
@@ -85,35 +85,36 @@ def sieve(cells: DataFrame, unit: int, rounds: int = 200) -> DataFrame:
     unit that is less, by (size, id), than all its neighbours under the unit joins the neighbour it shares the longest border with (ties:
     the least id) and takes its class; regions of one class that come to touch are one. Regions that move in one round do not touch each other.
     """
-    marked = durable(region_ids(cells))
+    marked = written(region_ids(cells))
     there = marked.select(c("r").alias("r2"), c("c").alias("c2"), c("region").alias("b"))
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     near = marked.select("r", "c", c("region").alias("a")).withColumn("s", step).withColumn("r2", c("r") + c("s.i")).withColumn("c2", c("c") + c("s.j")).join(there, ["r2", "c2"])
-    border = durable(near.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w")))
-    nodes = durable(marked.groupBy("region").agg(F.count("*").alias("size"), F.first("class").alias("class")))
-    names = durable(nodes.select(c("region").alias("old"), "region"))
+    border = written(near.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w")))
+    nodes = written(marked.groupBy("region").agg(F.count("*").alias("size"), F.first("class").alias("class")))
+    names = written(nodes.select(c("region").alias("old"), "region"))
     for _ in range(rounds):
         small = nodes.where(c("size") < unit)
         rank = lambda p: small.select(c("region").alias(p), F.struct("size", c("region").alias("id")).alias(f"rank_{p}"))
         # the least small neighbour of each small region
         beside = border.join(rank("a"), "a").join(rank("b"), "b", "left").groupBy("a").agg(F.first("rank_a").alias("mine"), F.min("rank_b").alias("other"), F.max(F.struct("w", (-c("b")).alias("id"))).alias("best"))
-        moves = durable(beside.where(c("other").isNull() | (c("mine") < c("other"))).select(c("a").alias("region"), (-c("best.id")).alias("to")))
+        moves = written(beside.where(c("other").isNull() | (c("mine") < c("other"))).select(c("a").alias("region"), (-c("best.id")).alias("to")))
         if moves.isEmpty():
             back = marked.select("r", "c", c("region").alias("old")).join(names, "old").join(nodes.select("region", "class"), "region")
             return back.select("r", "c", "class")
         # a region that moves has no neighbour that moves, so one step names all
         classes = nodes.join(moves, "region", "left").select("region", F.coalesce("to", "region").alias("to"), "size", "class")
-        whole = classes.groupBy(c("to").alias("region")).agg(F.sum("size").alias("size"), F.max(F.when(c("region") == c("to"), c("class"))).alias("class"))
+        classes = written(classes)
+        whole = written(classes.groupBy(c("to").alias("region")).agg(F.sum("size").alias("size"), F.max(F.when(c("region") == c("to"), c("class"))).alias("class")))
         to = lambda p: classes.select(c("region").alias(p), c("to").alias(f"to_{p}"))
-        joined = border.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b").groupBy(c("to_a").alias("a"), c("to_b").alias("b")).agg(F.sum("w").alias("w"))
+        joined = written(border.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b").groupBy(c("to_a").alias("a"), c("to_b").alias("b")).agg(F.sum("w").alias("w")))
         # neighbours of one class, where a region between them went, become one
         kind = lambda p: whole.select(c("region").alias(p), c("class").alias(f"class_{p}"))
         same = joined.join(kind("a"), "a").join(kind("b"), "b").where("class_a = class_b AND a < b").select(c("a").alias("src"), c("b").alias("dst"))
-        same = durable(same)
+        same = written(same)
         every = whole.select(c("region").alias("node"))
-        group = every.withColumn("component", c("node")) if same.isEmpty() else durable(components(same, every))
+        group = written(every.withColumn("component", c("node")) if same.isEmpty() else components(same, every))
         into = lambda p: group.select(c("node").alias(p), c("component").alias(f"in_{p}"))
-        nodes = durable(whole.join(into("region"), "region").groupBy(c("in_region").alias("region")).agg(F.sum("size").alias("size"), F.first("class").alias("class")))
-        border = durable(joined.join(into("a"), "a").join(into("b"), "b").where("in_a <> in_b").groupBy(c("in_a").alias("a"), c("in_b").alias("b")).agg(F.sum("w").alias("w")))
-        names = durable(names.join(moves, "region", "left").select("old", F.coalesce("to", "region").alias("region")).join(into("region"), "region").select("old", c("in_region").alias("region")))
+        nodes = written(whole.join(into("region"), "region").groupBy(c("in_region").alias("region")).agg(F.sum("size").alias("size"), F.first("class").alias("class")))
+        border = written(joined.join(into("a"), "a").join(into("b"), "b").where("in_a <> in_b").groupBy(c("in_a").alias("a"), c("in_b").alias("b")).agg(F.sum("w").alias("w")))
+        names = written(names.join(moves, "region", "left").select("old", F.coalesce("to", "region").alias("region")).join(into("region"), "region").select("old", c("in_region").alias("region")))
     raise RuntimeError(f"regions were still too small after {rounds} rounds")

@@ -41,7 +41,7 @@ def g22(s, d):
 @query("g22_first_order", """WITH z AS (SELECT event_type, value, lag(value) OVER w AS z1, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id, value)),
   g AS (SELECT event_type, count(*) AS n, regr_slope(value, z1) AS b, regr_intercept(value, z1) AS a, avg(value) AS m, var_pop(value) AS v, regr_r2(value, z1) AS r2 FROM z WHERE k > 8 GROUP BY 1)
   SELECT event_type, n, p, round(CASE p WHEN 1 THEN a ELSE m END, 6) AS intercept, round(CASE p WHEN 1 THEN b END, 6) AS slope, round(CASE p WHEN 1 THEN v*(1-r2) ELSE v END, 4) AS sigma2
-  FROM (SELECT *, CASE WHEN n*ln(v*(1-r2))+6 < n*ln(v)+4-1e-9 THEN 1 ELSE 0 END AS p FROM g)""")
+  FROM (SELECT *, CASE WHEN n*ln(v*(1-r2))+3*ln(n) < n*ln(v)+2*ln(n)-1e-9 THEN 1 ELSE 0 END AS p FROM g)""")
 def g22_first(s, d):
     """The same with one lag or none."""
     out = M.arima(load(s, d, "events"), "event_type", ["ts", "event_id"], "value", most_p=1, most_q=0, most_d=0)
