@@ -30,3 +30,7 @@ def near(rows, r):
 def test_morans_i_of_a_crowd(crowd):
     got = T.morans_i(crowd, 0.5).first()
     assert got.i == pytest.approx((N + 1) / N) and got.n == N + 1
+
+
+def test_inverse_weights_leave_out_pairs_in_one_place(crowd):
+    assert T.morans_i(crowd, 1.5, inverse=True).first().i == pytest.approx(-(N + 1) / N)
