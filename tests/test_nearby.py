@@ -34,3 +34,8 @@ def test_morans_i_of_a_crowd(crowd):
 
 def test_inverse_weights_leave_out_pairs_in_one_place(crowd):
     assert T.morans_i(crowd, 1.5, inverse=True).first().i == pytest.approx(-(N + 1) / N)
+
+
+def test_local_moran_of_a_crowd(crowd):
+    got = {r.id: r for r in T.local_moran(crowd, 0.5).where("id < 2 OR id = 100000").collect()}
+    assert set(got) == {0, 1} and got[0]["class"] == "LL" and got[1]["class"] == "HH" and got[0].geary == pytest.approx(0, abs=1e-9)
