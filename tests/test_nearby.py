@@ -39,3 +39,12 @@ def test_inverse_weights_leave_out_pairs_in_one_place(crowd):
 def test_local_moran_of_a_crowd(crowd):
     got = {r.id: r for r in T.local_moran(crowd, 0.5).where("id < 2 OR id = 100000").collect()}
     assert set(got) == {0, 1} and got[0]["class"] == "LL" and got[1]["class"] == "HH" and got[0].geary == pytest.approx(0, abs=1e-9)
+
+
+def test_weights_of_neighbours(few):
+    rows, df = few
+    pairs = near(rows, 3.0)
+    n = {}
+    for a, _, _ in pairs:
+        n[a[0]] = n.get(a[0], 0) + 1
+    assert {(r.id, r.id2): r.w for r in T.weights(df, 3.0).collect()} == {(a[0], b[0]): 1 / n[a[0]] for a, b, _ in pairs}
