@@ -48,3 +48,8 @@ def test_weights_of_neighbours(few):
     for a, _, _ in pairs:
         n[a[0]] = n.get(a[0], 0) + 1
     assert {(r.id, r.id2): r.w for r in T.weights(df, 3.0).collect()} == {(a[0], b[0]): 1 / n[a[0]] for a, b, _ in pairs}
+
+
+def test_dbscan_of_a_crowd(crowd):
+    got = T.dbscan(crowd, 1.5, 4).groupBy("core", "cluster").count().collect()
+    assert {(r.core, r.cluster, r["count"]) for r in got} == {(True, 0, N), (False, None, 1)}
