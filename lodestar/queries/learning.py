@@ -121,10 +121,10 @@ def g15(s, d):
 
 @query("g19_spatial_outliers", "SELECT p.id, round(abs(any_value(p.value)-avg(q.value)), 6) AS off, count(*) AS n FROM fx_points p JOIN fx_points q ON p.id<>q.id AND sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) <= 10 GROUP BY 1")
 def g19(s, d):
-    from ..operators.geostat import neighbours
+    from ..operators.geostat import around
 
-    g = neighbours(load(s, d, "fx_points").select("id", "lon", "lat", "value"), 10.0).groupBy("id")
-    return g.agg(r6(F.abs(F.first("value") - F.avg("value2"))).alias("off"), F.count("*").alias("n"))
+    g = around(load(s, d, "fx_points").select("id", "lon", "lat", "value"), 10.0)
+    return g.select("id", r6(F.abs(c("value") - c("s") / F.nullif("k", F.lit(0.0)))).alias("off"), c("n").cast("long").alias("n"))
 
 
 @query("g20_naive_forecast", "SELECT user_id, step, round(m, 6) AS value, round(m-1.96*sd, 5) AS low, round(m+1.96*sd, 5) AS high FROM (SELECT user_id, avg(value) AS m, stddev_pop(value) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n <= 5 GROUP BY 1), (SELECT unnest([1, 2, 3])::INT AS step)")

@@ -53,3 +53,15 @@ def test_weights_of_neighbours(few):
 def test_dbscan_of_a_crowd(crowd):
     got = T.dbscan(crowd, 1.5, 4).groupBy("core", "cluster").count().collect()
     assert {(r.core, r.cluster, r["count"]) for r in got} == {(True, 0, N), (False, None, 1)}
+
+
+def test_others_around_a_point(few):
+    rows, df = few
+    want = {}
+    for a, b, _ in near(rows, 4.0):
+        want.setdefault(a[0], []).append(b[3])
+    got = {r.id: r for r in T.around(df, 4.0, 2.0).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        have = [x - 2 for x in v if x is not None]
+        assert (got[k].n, got[k].k) == (len(v), len(have)) and got[k].s == pytest.approx(sum(have)) and got[k].q == pytest.approx(sum(x * x for x in have))
