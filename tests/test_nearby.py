@@ -65,3 +65,9 @@ def test_others_around_a_point(few):
     for k, v in want.items():
         have = [x - 2 for x in v if x is not None]
         assert (got[k].n, got[k].k) == (len(v), len(have)) and got[k].s == pytest.approx(sum(have)) and got[k].q == pytest.approx(sum(x * x for x in have))
+
+
+def test_regression_sums_of_a_crowd(spark, crowd):
+    site = spark.createDataFrame([(7, 0.0, 0.0)], "id2 long, lon2 double, lat2 double")
+    got = T.regression_around(crowd.withColumn("lat", F.col("lon")), site, 2.0).first()
+    assert got.w == pytest.approx(N / 2 * 1.25) and got.x == pytest.approx(N / 2 * 0.25) and got.xy == pytest.approx(3 * N / 2 * 0.25) and got.y == pytest.approx(N / 2 * 1.75)
