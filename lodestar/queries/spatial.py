@@ -128,9 +128,9 @@ def e39(s, d):
 
 @query("e41_variogram", "SELECT floor(dist/2)::BIGINT AS lag, count(*) AS n, round(avg(pow(a-b,2))/2, 3) AS gamma FROM (SELECT p.value AS a, q.value AS b, sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) AS dist FROM fx_points p JOIN fx_points q ON p.id < q.id) WHERE dist <= 12 GROUP BY 1")
 def e41(s, d):
-    a = load(s, d, "fx_points")
-    b = a.select(F.col("id").alias("id2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("value").alias("v2"))
-    return S.within_distance(a, b, 12.0).where("id < id2").groupBy(F.floor(F.col("distance") / 2).alias("lag")).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("value") - F.col("v2"), F.lit(2))) / 2, 3).alias("gamma"))
+    from ..operators.geostat import variogram
+
+    return variogram(load(s, d, "fx_points"), 12.0, 2.0).select("lag", "n", F.round("gamma", 3).alias("gamma"))
 
 
 @query("f5_shortest_paths", "WITH RECURSIVE w(node, cost, depth) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION ALL SELECT e.dst, w.cost+e.cost, depth+1 FROM w JOIN fx_edges e ON e.src=w.node WHERE depth < 9 AND w.cost < 60) SELECT node, min(cost) AS cost FROM w GROUP BY 1")

@@ -71,3 +71,9 @@ def test_regression_sums_of_a_crowd(spark, crowd):
     site = spark.createDataFrame([(7, 0.0, 0.0)], "id2 long, lon2 double, lat2 double")
     got = T.regression_around(crowd.withColumn("lat", F.col("lon")), site, 2.0).first()
     assert got.w == pytest.approx(N / 2 * 1.25) and got.x == pytest.approx(N / 2 * 0.25) and got.xy == pytest.approx(3 * N / 2 * 0.25) and got.y == pytest.approx(N / 2 * 1.75)
+
+
+def test_variogram_of_a_crowd(crowd):
+    got = {r.lag: (r.n, round(r.gamma, 9)) for r in T.variogram(crowd, 4.0, 1.0).collect()}
+    half = N // 2
+    assert got == {0: (half * (half - 1), 0.0), 1: (half * half, 2.0)}
