@@ -77,3 +77,14 @@ def test_variogram_of_a_crowd(crowd):
     got = {r.lag: (r.n, round(r.gamma, 9)) for r in T.variogram(crowd, 4.0, 1.0).collect()}
     half = N // 2
     assert got == {0: (half * (half - 1), 0.0), 1: (half * half, 2.0)}
+
+
+def test_linked_points_against_a_plain_search(few):
+    from lodestar.operators.nearby import linked
+
+    rows, df = few
+    up = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, b, _ in near(rows, 0.9):
+            up[a[0]] = up[b[0]] = min(up[a[0]], up[b[0]])
+    assert {r.id: r.component for r in linked(df, 0.9).collect()} == up and len(set(up.values())) > 3
