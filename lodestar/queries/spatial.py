@@ -107,11 +107,9 @@ def e23(s, d):
 
 @query("e26_hot_spots", "SELECT p.id, round((sum(q.value)-any_value(m)*count(*))/(any_value(sd)*sqrt(count(*))), 6) AS z FROM fx_points p JOIN fx_points q ON sqrt(pow(p.lon-q.lon,2)+pow(p.lat-q.lat,2)) <= 4, (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM fx_points) GROUP BY 1")
 def e26(s, d):
-    a = load(s, d, "fx_points")
-    m, sd = a.agg(F.avg("value"), F.stddev_pop("value")).first()
-    b = a.select(F.col("id").alias("id2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("value").alias("v2"))
-    near = S.within_distance(a.select("id", "lon", "lat"), b, 4.0)
-    return near.groupBy("id").agg(r6((F.sum("v2") - F.lit(m) * F.count("*")) / (F.lit(sd) * F.sqrt(F.count("*")))).alias("z"))
+    from ..operators.geostat import hot_spots
+
+    return hot_spots(load(s, d, "fx_points"), 4.0).select("id", r6("z").alias("z"))
 
 
 @query("e35_grid_clusters", "SELECT floor(lon/10)::BIGINT AS cx, floor(lat/10)::BIGINT AS cy, count(*) AS n, round(avg(lon), 6) AS x, round(avg(lat), 6) AS y FROM fx_points GROUP BY 1, 2")

@@ -88,3 +88,8 @@ def test_linked_points_against_a_plain_search(few):
         for a, b, _ in near(rows, 0.9):
             up[a[0]] = up[b[0]] = min(up[a[0]], up[b[0]])
     assert {r.id: r.component for r in linked(df, 0.9).collect()} == up and len(set(up.values())) > 3
+
+
+def test_hot_spots_of_a_crowd(crowd):
+    got = {r.id: r.z for r in T.hot_spots(crowd, 0.5).where("id < 2 OR id = 100000").collect()}
+    assert got[1] == pytest.approx(math.sqrt(N / 2), rel=1e-4) and got[0] == pytest.approx(-got[1]) and got[100000] == pytest.approx(0, abs=1e-9)
