@@ -93,3 +93,13 @@ def test_linked_points_against_a_plain_search(few):
 def test_hot_spots_of_a_crowd(crowd):
     got = {r.id: r.z for r in T.hot_spots(crowd, 0.5).where("id < 2 OR id = 100000").collect()}
     assert got[1] == pytest.approx(math.sqrt(N / 2), rel=1e-4) and got[0] == pytest.approx(-got[1]) and got[100000] == pytest.approx(0, abs=1e-9)
+
+
+def test_nearest_of_a_crowd_and_ties(spark, crowd):
+    from lodestar.operators import spatial as S
+
+    p = crowd.select("id", "lon", "lat")
+    b = p.select(F.col("id").alias("id2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    got = S.nearest(p, b, 2, 8.0).where("id > 99997").orderBy("id", "rank").collect()
+    assert [(r.id, r.id2, r.distance) for r in got] == [(99998, 0, 0.0), (99998, 2, 0.0), (99999, 1, 0.0), (99999, 3, 0.0), (100000, 100000, 0.0), (100000, 1, 499.0)]
+    assert [r.id2 for r in S.nearest(p.where("id = 100000"), b.where("id2 < 9"), 2, 8.0, most=15.0).collect()] == []
