@@ -103,3 +103,10 @@ def test_nearest_of_a_crowd_and_ties(spark, crowd):
     got = S.nearest(p, b, 2, 8.0).where("id > 99997").orderBy("id", "rank").collect()
     assert [(r.id, r.id2, r.distance) for r in got] == [(99998, 0, 0.0), (99998, 2, 0.0), (99999, 1, 0.0), (99999, 3, 0.0), (100000, 100000, 0.0), (100000, 1, 499.0)]
     assert [r.id2 for r in S.nearest(p.where("id = 100000"), b.where("id2 < 9"), 2, 8.0, most=15.0).collect()] == []
+
+
+def test_box_overlay_builds_no_rings(spark):
+    from lodestar.registry import QUERIES
+
+    plan = QUERIES["d23_box_overlay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
