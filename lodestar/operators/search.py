@@ -82,9 +82,13 @@ def sounds_like(docs: DataFrame, key: str, text: str, names: list[str]) -> DataF
 
 def phrase(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, n): how often the terms stand one after another in a document."""
-    w = docs.select(key, words(text).alias("w")).where(reduce(lambda p, q: p & q, [F.array_contains("w", t) for t in terms]))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - len(terms)), lambda k: reduce(lambda p, q: p & q, [F.get("w", k + i) == t for i, t in enumerate(terms)]))
-    return w.where(F.size("w") >= len(terms)).select(key, F.size(at).alias("n")).where("n > 0")
+    w = docs.select(key, words(text).alias("w"))
+    # each term's places, moved to where the phrase would begin; the words are named a fixed number of times, as each name splits the text again
+    fit = F.greatest(F.size("w") - (len(terms) - 1), F.lit(0))
+    same = lambda t: lambda x: x == t
+    here = [F.transform(F.slice("w", i + 1, fit), same(t)) for i, t in enumerate(terms)]
+    at = F.filter(reduce(lambda p, q: F.zip_with(p, q, lambda x, y: x & y), here), lambda x: x)
+    return w.select(key, F.size(at).alias("n")).where("n > 0")
 
 
 def dictionary(docs: DataFrame, text: str) -> DataFrame:

@@ -110,3 +110,14 @@ def test_box_overlay_builds_no_rings(spark):
 
     plan = QUERIES["d23_box_overlay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_phrase_splits_a_text_a_fixed_number_of_times(spark):
+    import time
+
+    from lodestar.operators.search import phrase
+
+    df = spark.createDataFrame([(1, "of the " * 20_000), (2, "of of the, OF The x of"), (3, "of"), (4, None), (5, "the the the")], "id long, t string")
+    start = time.time()
+    assert {r.id: r.n for r in phrase(df, "id", "t", ["of", "the"]).collect()} == {1: 20_000, 2: 2}
+    assert {r.id: r.n for r in phrase(df, "id", "t", ["the", "the"]).collect()} == {5: 2} and time.time() - start < 30
