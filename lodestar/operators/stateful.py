@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class OrderedFold(StatefulProcessor):
     """Folds each key's rows (id, t in microseconds, value) by (t, id) as soon as no earlier row can come.
 
-    `step(state, t, value)` gives the new state, numbers as many as in `start`, and the row's result. Rows wait in a list state, with a timer at
-    their time; what a timer finds ready is folded and written. The state of a key is these waiting rows and the numbers.
+    `step(state, t, value)` gives the new state, numbers as many as in `start`, and the row's result. Rows wait in a list state, a batch of them as one
+    entry of packed numbers, with a timer at the least time of those that wait; when it fires, all rows that the watermark has passed are folded in one go. The state of a key is these
+    waiting rows and the numbers.
     """
 
     def __init__(self, start: tuple[float, ...], step: Callable[[tuple, int, float], tuple[tuple, float]]):
@@ -25,37 +27,50 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "id long, t long, value double")
+        self.waiting = handle.getListState("waiting", "ids binary, times binary, vals binary")
         self.numbers = handle.getValueState("numbers", "at long, " + ", ".join(f"n{k} double" for k in range(len(self.start))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        entries, least = [], None
         for part in rows:
-            new += zip(part["id"].tolist(), part["t"].tolist(), part["value"].tolist())
-        self.waiting.appendList([(int(i), int(t), None if v is None or v != v else float(v)) for i, t, v in new])
-        for ms in {math.ceil(t / 1000) for _, t, _ in new}:
-            self.handle.registerTimer(ms)
+            ids, times, vals = part["id"].to_numpy("int64"), part["t"].to_numpy("int64"), part["value"].to_numpy("float64")
+            if len(ids):
+                entries.append((ids.tobytes(), times.tobytes(), vals.tobytes()))
+                least = min(int(times.min()), least if least is not None else int(times.min()))
+        if entries:
+            self.waiting.appendList(entries)
+            self.handle.registerTimer(math.ceil(least / 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()]
-        ready = sorted((t, i, v) for i, t, v in rows if t <= upto)
-        if not ready:
+        # rows up to the watermark come no more
+        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        ready, later = [], []
+        for entry in self.waiting.get():
+            part = (np.frombuffer(entry[0], "int64"), np.frombuffer(entry[1], "int64"), np.frombuffer(entry[2], "float64"))
+            now = part[1] <= upto
+            ready.append([v[now] for v in part])
+            if not now.all():
+                later.append([v[~now] for v in part])
+        ids, times, vals = (np.concatenate(v) for v in zip(*ready)) if ready else (np.zeros(0),) * 3
+        if not len(ids):
             return
-        later = [r for r in rows if r[1] > upto]
         if later:
-            self.waiting.put(later)
+            self.waiting.put([tuple(v.tobytes() for v in part) for part in later])
+            self.handle.registerTimer(math.ceil(min(int(part[1].min()) for part in later) / 1000))
         else:
             self.waiting.clear()
-        at, *state = self.numbers.get() if self.numbers.exists() else (ready[0][0], *self.start)
-        state, out = tuple(state), []
-        for t, i, v in ready:
-            state, result = self.step(state, t - at, v)
-            at = t
-            out.append(result)
+        order = np.lexsort((ids, times))
+        at, *state = self.numbers.get() if self.numbers.exists() else (int(times[order[0]]), *self.start)
+        state = tuple(state)
+        for lo in range(0, len(order), 10_000):
+            some, out = order[lo:lo + 10_000], []
+            for t, v in zip(times[some].tolist(), vals[some].tolist()):
+                state, result = self.step(state, t - at, None if v != v else v)
+                at = t
+                out.append(result)
+            yield pd.DataFrame({"key": [key[0]] * len(some), "id": ids[some], "result": pd.Series(out, dtype="float64")})
         self.numbers.update((at, *state))
-        yield pd.DataFrame({"key": [key[0]] * len(ready), "id": [i for _, i, _ in ready], "result": pd.Series(out, dtype="float64")})
 
     def close(self) -> None:
         pass
