@@ -68,6 +68,15 @@ def merge_lines(lines: DataFrame, rounds: int = 64) -> DataFrame:
 def offset_line(line: Column, distance: Column) -> Column:
     """The line moved to its left by `distance` (to the right where it is negative), corners mitred; points that repeat should be taken out before."""
     normals = Y.pairs(line, lambda a, b: F.struct(((a["y"] - b["y"]) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])).alias("x"), ((b["x"] - a["x"]) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])).alias("y")))
+    return _once(normals, lambda normals: _mitred(line, distance, normals))
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with the value worked out once: columns put into one another are copied wherever they are named, a lambda's argument is not."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _mitred(line: Column, distance: Column, normals: Column) -> Column:
     both = F.zip_with(F.concat(F.slice(normals, 1, 1), normals), F.concat(normals, F.slice(normals, -1, 1)), lambda m, n: F.struct(((m["x"] + n["x"]) / (1 + m["x"] * n["x"] + m["y"] * n["y"])).alias("x"), ((m["y"] + n["y"]) / (1 + m["x"] * n["x"] + m["y"] * n["y"])).alias("y")))
     return F.zip_with(line, both, lambda p, m: Y.point(p["x"] + distance * m["x"], p["y"] + distance * m["y"]))
 
@@ -82,10 +91,13 @@ def split_line(line: Column, x: Column, y: Column) -> Column:
 
     n = F.size(line)
     places = F.transform(F.sequence(F.lit(0), n - 2), lambda k: near(F.get(line, k), F.get(line, k + 1), k))
-    best = F.array_min(places)
+    return _once(F.array_min(places), lambda best: _parted(line, best, n))
+
+
+def _parted(line: Column, best: Column, n: Column) -> Column:
     head = F.concat(F.slice(line, 1, best["k"] + 1), F.array(best["p"]))
     tail = F.concat(F.array(best["p"]), F.slice(line, best["k"] + 2, n - best["k"] - 1))
-    clean = lambda part: Y.without_repeats(part)
+    clean = lambda part: _once(part, Y.without_repeats)
     whole = (best["p"] == F.get(line, F.lit(0))) | (best["p"] == F.element_at(line, -1))
     return F.when(whole, F.array(line)).otherwise(F.array(clean(head), clean(tail)))
 
