@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import durable
+
+#: Words indexed at once.
+CHUNK = 1 << 20
 SPLIT = r"[^\p{L}\p{N}]+"
 # Frequent short words that name a language.
 STOP_WORDS = {"en": ["the", "and", "of", "to", "in", "that", "is", "for", "with", "was"], "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu", "mit", "auf"], "fr": ["le", "la", "les", "des", "et", "une", "que", "dans", "pour", "est"], "es": ["el", "los", "que", "del", "las", "una", "por", "con", "para", "como"]}
@@ -39,6 +47,53 @@ def counted(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
     return low.select(key, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *[F.regexp_count("t", F.lit(alone(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
 
 
+def positions(docs: DataFrame, key: str, terms: str) -> DataFrame:
+    """(term, key, tf, positions, dl) of documents (key, terms: an array): an inverted index with the places of each term.
+
+    A document lies in one row, so its part of the index is made where it is read, without a shuffle of words. Rows that share a key are one entry, with the
+    places of all of them; only such rows are shuffled.
+    """
+    docs = docs.select(key, terms)
+    several = durable(docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_key")))
+    out = f"term string, {key} {docs.schema[key].dataType.simpleString()}, tf long, positions array<long>, dl long"
+    if several.isEmpty():
+        return docs.mapInArrow(_indexed(key, terms), out)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    t = docs.join(several, same, "left_semi").select(key, F.size(terms).cast("long").alias("dl"), F.posexplode(terms).alias("place", "term"))
+    shared = t.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("place").cast("long"))).alias("positions"), F.max("dl").alias("dl"))
+    return docs.join(several, same, "left_anti").mapInArrow(_indexed(key, terms), out).unionByName(shared)
+
+
+def _indexed(key: str, terms: str):
+    """A mapInArrow function that gives each document's terms with their places."""
+    def part(keys: pa.Array, lists: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
+        coded = lists.flatten().dictionary_encode()
+        code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary) or 1
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        pair = row * n + code
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+        at = order[first]
+        ends = np.r_[first, len(order)].astype(np.int32)
+        return pa.RecordBatch.from_pydict({
+            "term": coded.dictionary.take(pa.array(code[at])), key: keys.take(pa.array(row[at])), "tf": np.diff(ends).astype(np.int64),
+            "positions": pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order], pa.int64())), "dl": lengths[row[at]],
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.column(key), batch.column(terms)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            turn = np.cumsum(lengths) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(lengths)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    yield part(keys.slice(lo, hi - lo), lists.slice(lo, hi - lo), lengths[lo:hi])
+
+    return run
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the documents that hold any, or every, of the terms; only documents with words count for the mean length.
 

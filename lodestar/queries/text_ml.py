@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import load
-from ..operators.search import bm25
+from ..operators.search import bm25, positions
 from ..registry import query
 
 r6 = lambda c: F.round(c, 6)
@@ -85,8 +85,7 @@ def k4(s, d):
   SELECT term, doc_id, count(*) AS tf, list(place ORDER BY place) AS positions, max(dl)::BIGINT AS dl FROM t GROUP BY 1, 2""")
 def k4_index(s, d):
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    t = load(s, d, "documents").select("doc_id", words.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("place", "term"))
-    return t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("place").cast("long"))).alias("positions"), F.max("dl").alias("dl"))
+    return positions(load(s, d, "documents").select("doc_id", words.alias("terms")), "doc_id", "terms")
 
 
 @query("k5_bm25", f"""WITH t AS ({TERMS}), len AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term IN ('the','license','version') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
