@@ -128,10 +128,12 @@ def moving_average(line: Column, half: int) -> Column:
 
 
 def densify(line: Column, most) -> Column:
-    """Points added so that no segment is longer than `most`; a segment is cut into equal parts."""
+    """Points added so that no segment is longer than `most`; a segment is cut into equal parts. Lengths are roots of sums of squares, as in SQL: `hypot` differs in the last digit, which tells where `most` goes into a length without rest."""
     def cut(a, b):
-        n = F.greatest(F.lit(1), F.ceil(F.hypot(b["x"] - a["x"], b["y"] - a["y"]) / most).cast("int"))
-        return F.transform(F.sequence(F.lit(1), n), lambda k: point(a["x"] + (b["x"] - a["x"]) * k / n, a["y"] + (b["y"] - a["y"]) * k / n))
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        n = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / most).cast("int"))
+        # the argument of a lambda is worked out once
+        return F.flatten(F.transform(F.array(n), lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: point(a["x"] + (b["x"] - a["x"]) * k / n, a["y"] + (b["y"] - a["y"]) * k / n))))
 
     return F.concat(F.slice(line, 1, 1), F.flatten(pairs(line, cut)))
 
